@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, piece_bpe, sstable, trie_counts
+from . import embedding_dedup, packing, piece_bpe, simhash, sstable, trie_counts
 from .common import table
 
 
@@ -19,6 +20,11 @@ def tokenizer_file(name: str) -> str:
 WORD_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_FILE))
 
@@ -27,6 +33,10 @@ def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_FILE))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_FILE))
 
@@ -36,7 +46,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_piece_bpe, op7_packing, op10_token_shards)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op3_token_counts, op4_piece_bpe, op6_embedding_dedup, op7_packing, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
