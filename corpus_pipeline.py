@@ -3,12 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from voxelweave.llm import language_id, secret_scan, simhash
 from voxelweave.llm.common import materialise, table
 from voxelweave.llm.packing import pack
 from voxelweave.llm.queries import WORD_FILE, tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of the best language below which a document is taken for no language's.
+LEAST_SHARE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no text, no letter, or no clear winner."""
+    scored = language_id.predict(docs, language_id.fit(docs))
+    return scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least doc_id of each group of near-duplicates."""
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets; every document stays."""
+    return secret_scan.redact(docs).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +36,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return pack(docs, tokenizer_file(WORD_FILE))
 
 
-STAGES = [("packing", pack_windows)]
+STAGES = [("language id", identify_language), ("near-dedup", drop_near_copies), ("secret scan", redact_secrets), ("packing", pack_windows)]
 
 #: Language models, fingerprints over distinct texts and tokenizers are not SQL; tests hold the stages to brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, packing, piece_bpe, simhash, sstable, trie_counts
+from . import embedding_dedup, fraction_sketch, html_text, language_id, packing, piece_bpe, secret_scan, simhash, sstable, trie_counts
 from .common import table
 
 
@@ -45,9 +45,31 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_file(WORD_FILE))
 
 
+def op2_fraction_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fraction_sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language_id.held_out().alias("held_out"), "text")
+    return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+OPERATORS = (op1_simhash_dedup, op2_fraction_sketch, op3_token_counts, op4_piece_bpe, op5_html_text, op6_embedding_dedup, op7_packing, op8_secret_scan, op9_language_id, op10_token_shards)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op3_token_counts, op4_piece_bpe, op6_embedding_dedup, op7_packing, op10_token_shards)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_secret_scan": secret_scan.oracle_sql()}
