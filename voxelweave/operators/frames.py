@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.address import BRICK, CELLS, addressed
 from .bricks import CELL, COLOUR, FRAME
 
-IN_BRICK = Window.partitionBy(*FRAME, *BRICK).orderBy("vi")
+
+def in_brick():
+    return Window.partitionBy(*FRAME, *BRICK).orderBy("vi")
 
 
 def gop_of(frame: Column, gop: int) -> Column:
@@ -50,12 +52,12 @@ def missing_dependencies(index: DataFrame) -> DataFrame:
 def intra_deltas(voxels: DataFrame) -> DataFrame:
     """Colour differences, modulo 256, from the voxel before in the brick; the first is as it is."""
     rows = addressed(voxels)
-    return rows.withColumns({f"d{c}": F.pmod(F.col(c) - F.lag(c, 1, 0).over(IN_BRICK), F.lit(256)) for c in COLOUR}).select(*FRAME, *BRICK, "vi", "dr", "dg", "db")
+    return rows.withColumns({f"d{c}": F.pmod(F.col(c) - F.lag(c, 1, 0).over(in_brick()), F.lit(256)) for c in COLOUR}).select(*FRAME, *BRICK, "vi", "dr", "dg", "db")
 
 
 def intra_colours(deltas: DataFrame) -> DataFrame:
     """The inverse: running sums modulo 256."""
-    order = IN_BRICK.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = in_brick().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return deltas.select(*FRAME, *BRICK, "vi", *(F.pmod(F.sum(f"d{c}").over(order), F.lit(256)).cast("int").alias(c) for c in COLOUR))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import address as A
 from ..functions import vectors as V
 from ..operators import bricks, frames, motion, neighbours, volumes
+from ..session import shared_folder
+from ..sources import arrays, container, nvdb
 from . import scenes
 
 GOP, GROUP = 4, 3
@@ -650,3 +652,57 @@ def point_scatter(s, d):
 @query("""SELECT 'D' AS scene, (p_partkey % 8) AS frame, (floor(p_partkey % 61 / 4.0 + 0.5)::BIGINT // 8) AS kx, (floor(p_partkey % 47 / 4.0 + 0.5)::BIGINT // 8) AS ky, (floor(p_partkey % 53 / 4.0 + 0.5)::BIGINT // 8) AS kz, count(*) AS n_points FROM part GROUP BY ALL""")
 def points_by_leaf(s, d):
     return whole(volumes.points_by(sample_points(s, d), "leaf"))
+
+
+# --- files ----------------------------------------------------------------------------------------------------------
+
+
+def _round_trip(name: str, scene, dims: tuple[int, int, int], t: str, gop: int, group: int, motion_vectors: bool):
+    def f(s, d):
+        import warnings
+
+        folder = shared_folder(s, name)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            params = container.Params(gop, group, motion_vectors)
+        container.write(scene(s, d), folder, dims, 30.0, params, 8)
+        return whole(container.read(s, folder).withColumn("scene", F.regexp_extract("scene", r"^([^.]*)", 1)))
+
+    f.__name__ = name
+    _found[name] = f, f"WITH {scenes.SQL[1:]} SELECT {VX}, {RGB} FROM {t}"
+
+
+_round_trip("encode_decode_dense", scenes.dense, (16, 16, 16), "d", 4, 3, False)
+_round_trip("encode_decode_moving", scenes.moving, (32, 24, 24), "m", 4, 0, True)
+
+
+@query(f"SELECT {FR}, CASE WHEN frame % 4 = 0 THEN 'I' ELSE 'P' END AS type, count(*) AS voxels FROM d GROUP BY ALL")
+def encoded_frames(s, d):
+    blocks = container.encode_groups(scenes.dense(s, d), (16, 16, 16), container.Params(4, 0, True))
+    return whole(blocks.select("scene", "frame", "type", "voxels"))
+
+
+@query(f"SELECT {VX}, {RGB} FROM m")
+def grid_files(s, d):
+    folder = shared_folder(s, "grids")
+    nvdb.save(scenes.moving(s, d), folder).collect()  # one row a frame
+    rows = nvdb.load(s.read.format("binaryFile").load(f"{folder}/M"), ((0, 0, 0), (31, 31, 31)))
+    return whole(rows.withColumn("frame", F.regexp_extract("scene", r"frame_(\d+)", 1).cast("int")).withColumn("scene", F.lit("M")))
+
+
+@query(f"SELECT {VX}, {RGB} FROM d WHERE r + g > 100")
+def dense_array_frames(s, d):
+    v = scenes.dense(s, d)
+    share = {f"c{c}": (F.col(c) + 0.25) / 255.0 for c in "rgb"} | {"ca": F.when(F.col("r") + F.col("g") > 100, 1.0).otherwise(0.003)}
+    return whole(arrays.dense_cells(v.withColumns(share).select("scene", "frame", "x", "y", "z", "cr", "cg", "cb", "ca")))
+
+
+@query(f"SELECT {VX}, {RGB} FROM d WHERE frame = 0")
+def flat_array_frames(s, d):
+    v = scenes.dense(s, d).where("frame = 0")
+    cell = F.struct(*((F.col(c) + 0.25) / 255.0 for c in "rgb"), F.lit(1.0))
+    listed = v.select("scene", "frame", (F.col("x") + 16 * F.col("y") + 256 * F.col("z")).alias("i"), cell.cast("struct<r:double,g:double,b:double,a:double>").alias("c"))
+    none = F.struct(*(F.lit(0.0).alias(c) for c in "rgba"))
+    filled = listed.groupBy("scene", "frame").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))
+    frames_ = filled.select("scene", "frame", F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.coalesce(F.col("m")[i], none)).alias("colours"))
+    return whole(arrays.flat_arrays(frames_, (16, 16, 16)))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own_roots: dict[str, str] = {}
 
 
 def local_session(name: str = "voxelweave", cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -37,3 +39,19 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir, or a temporary one of this application where that is unset."""
+    root, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not root:
+        if app not in _own_roots:
+            _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
+            spark.sparkContext.setCheckpointDir(_own_roots[app])
+        root = _own_roots[app]
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
