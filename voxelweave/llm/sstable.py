@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_path, text_slices
+from ..session import shared_folder
+from .common import filesystem, text_slices
 from .word_tokens import load, with_end
 
 MAGIC = b"TOKTABL1"
@@ -249,7 +250,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int =
 
     Only the manifest, one row per shard, is put in one place for the running sum.
     """
-    manifest = write(docs, tokenizer, shared_path(spark, "token-shards"), end)
+    manifest = write(docs, tokenizer, shared_folder(spark, "token-shards"), end)
     total, before = 0, []
     for shard, tokens in sorted(map(tuple, manifest.select("shard", "tokens").collect())):
         before.append((shard, total))
