@@ -193,7 +193,7 @@ def best(found: list[Element]) -> Element:
         own = [(v, -i) for i, (e, v) in enumerate(zip(found, value, strict=True)) if e.tag == tag and v > 0.3 * whole]
         if own:
             return found[-max(own)[1]]
-    return max((e for e, v in zip(found, value, strict=True) if v >= 0.9 * whole), key=lambda e: (e.path.count(">"), -e.number))
+    return max((e for e, v in zip(found, value, strict=True) if v >= 0.8 * whole), key=lambda e: (e.path.count(">"), -e.number))
 
 
 def vote(page: str) -> tuple[str, int]:

@@ -7,7 +7,7 @@ A shard file holds, in this order:
   sparse index  for each block: its first key (u16 length, bytes), u64 offset, u32 length, u32 entries
   Bloom filter  u32 hash count, then the bits
   footer        u64 index offset, u64 index length, u64 Bloom offset, u64 Bloom length, u64 entries, u64 tokens,
-                u32 id width, u32 crc32 of index and Bloom bytes, 8 bytes MAGIC
+                u32 id width, u32 crc32 of index, Bloom bytes and the footer so far, 8 bytes MAGIC
 A key is a zero byte for a null identifier; else a one byte and the identifier, offset to be unsigned, big-endian.
 
 Cases: a null or empty text has its end id alone; null identifiers come first; equal identifiers keep all their
@@ -32,7 +32,7 @@ from .common import filesystem, text_slices
 from .word_tokens import load, with_end
 
 MAGIC = b"TOKTABL1"
-FOOTER = struct.Struct("<QQQQQQII8s")
+NUMBERS, FOOTER = struct.Struct("<QQQQQQI"), struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES, RESTART = 64 << 10, 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MANIFEST = "shard int, path string, docs long, tokens long, bytes long"
@@ -118,7 +118,8 @@ class ShardWriter:
         for i in range(BLOOM_HASHES):
             filled[(a + np.uint64(i) * b) % np.uint64(bits)] = 1
         bloom = struct.pack("<I", BLOOM_HASHES) + np.packbits(filled, bitorder="little").tobytes()
-        foot = FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.entries, self.tokens, self.width, zlib.crc32(index + bloom), MAGIC)
+        numbers = self.at, len(index), self.at + len(index), len(bloom), self.entries, self.tokens, self.width
+        foot = FOOTER.pack(*numbers, zlib.crc32(index + bloom + NUMBERS.pack(*numbers)), MAGIC)
         self.sink.write(index + bloom + foot)
         return self.at + len(index) + len(bloom) + len(foot)
 
@@ -146,11 +147,14 @@ class ShardReader:
         size = self.file.size()
         if size < FOOTER.size:
             raise ValueError(f"{uri}: too short for a shard")
-        io, il, bo, bl, self.entries, self.tokens, self.width, crc, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        *numbers, crc, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        io, il, bo, bl, self.entries, self.tokens, self.width = numbers
         if magic != MAGIC:
             raise ValueError(f"{uri}: not a shard")
+        if max(io + il, bo + bl) > size:
+            raise ValueError(f"{uri}: its footer is damaged")
         index, bloom = self.file.read_at(il, io), self.file.read_at(bl, bo)
-        if zlib.crc32(index + bloom) != crc:
+        if zlib.crc32(index + bloom + NUMBERS.pack(*numbers)) != crc:
             raise ValueError(f"{uri}: its index is damaged")
         self.hashes, self.bloom = struct.unpack_from("<I", bloom)[0], bloom[4:]
         self.first, self.blocks, at = [], [], 0
