@@ -81,6 +81,8 @@ CASES = [
     ('<div role="dialog">d</div><p hidden>h</p><p style="display: none">n</p><p>v</p>', "v"),
     ("<script>only", ""),
     ("plain", "plain"),
+    ('<article class="post comments-open"><p>text</p><figure><img><figcaption>seen</figcaption></figure></article><article class="comment"><p>c</p></article>', "text\nseen"),
+    ('<div class="address-padding"><p>an address</p></div>', "an address"),
     ("<<>>< p>", "<<>>< p>"),
 ]
 

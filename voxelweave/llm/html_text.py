@@ -31,13 +31,13 @@ SPLIT = re.compile(r"[^a-z]+")
 NUMBER = re.compile(r"\d+")
 
 # The tags and words of HTML that the extraction knows.
-RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("article main section div td body html blockquote center".split())
-DROPPED_TAGS = frozenset("nav aside footer form button select option dialog menu head figcaption input".split()) | RAW
+DROPPED_TAGS = frozenset("nav aside footer form button select option dialog menu head input".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus sidebar aside footer comment comments respond reply replies disqus cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended breadcrumb breadcrumbs pagination pager widget masthead topbar toolbar skip login disclaimer".split())
+DROPPED_WORDS = frozenset("ad ads adv advert alert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus sidebar aside footer comment comments respond reply replies disqus cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended breadcrumb breadcrumbs pagination pager widget masthead topbar toolbar skip login disclaimer".split())
 HEADER_WORDS = frozenset("header".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -60,17 +60,22 @@ class Element:
 @functools.lru_cache(maxsize=1 << 14)
 def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """Path step, whether the element is boilerplate, whether it is a header."""
-    classes, words, dropped = [], set(), tag in DROPPED_TAGS
+    classes, words, names, dropped = [], set(), set(), tag in DROPPED_TAGS
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
         name, value = name.lower(), (a or b or c).lower()
         if name == "class":
             classes = sorted(value.split())
+            names |= set(classes)
             words |= set(SPLIT.split(value))
         elif name == "id":
+            names.add(value)
             words |= set(SPLIT.split(value))
         elif name == "role" and value in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             dropped = True
-    if tag not in ("body", "html", "article", "main"):
+    # an article's classes may speak of parts that it has, so there only a whole name counts
+    if tag in ("article", "main"):
+        dropped |= bool(names & (DROPPED_WORDS | {"comment-body"}))
+    elif tag not in ("body", "html"):
         dropped |= bool(words & DROPPED_WORDS)
     step = tag + "".join("." + NUMBER.sub("#", c) for c in classes)
     return step, dropped, tag == "header" or bool(words & HEADER_WORDS) and tag in CONTAINERS
