@@ -208,3 +208,15 @@ def test_command_line(spark, tmp_path):
     assert container.read(spark, out).count() == 1
     a = cli.parsed(["-d", "8", "8", "8", "-f", "30", "-o", "x"])
     assert (a.g, a.b, a.m) == (1, 256, "1")
+
+
+def test_names_and_byte_order():
+    assert nvdb.name_hash("") == 0 and nvdb.name_hash("a") == 97 and nvdb.name_hash("ab") == 97 * 67 + 98
+    long = "density" * 20
+    key = 0
+    for c in long.encode():
+        key = (key * 67 + c + (key >> 56)) % 2**64
+    assert nvdb.name_hash(long) == key
+    assert nvdb.reversed_bytes(nvdb.reversed_bytes(0x0102030405060708)) == 0x0102030405060708
+    with pytest.raises(ValueError, match="byte order"):
+        list(nvdb.grids(nvdb.MAGIC[::-1] + bytes(8)))

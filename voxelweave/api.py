@@ -63,7 +63,7 @@ class VoxelEncoder:
 
         found = voxfile.files(self.spark, path)
         voxels = voxfile.load(found, box)
-        shown = voxfile.entries(found).select(F.coalesce(F.try_element_at("attributes", F.lit("_f")).cast("int"), F.col("entry")).alias("f"))
+        shown = voxfile.entries(found).select(voxfile.frame_of("attributes", F.col("entry")).alias("f"))
         n = shown.agg(F.max("f")).first()[0] + 1
         self.add(voxels, n, remove_nonvisible)
         return n

@@ -131,6 +131,17 @@ def box_distance(size: tuple[float, float, float], centre: tuple[float, float, f
     return outside + F.least(F.greatest(*beyond), F.lit(0.0))
 
 
+def box_frame_distance(size: tuple[float, float, float], thickness: float, centre: tuple[float, float, float] = (0, 0, 0)) -> Column:
+    """The edges of a box, as bars of a thickness: the nearest of three bars that run along each axis."""
+    p = [F.abs(F.col(a) - float(c)) - s / 2 for a, c, s in zip(CELL, centre, size, strict=True)]
+    q = [F.abs(x + thickness) - thickness for x in p]
+    bars = []
+    for along in range(3):
+        b = [p[k] if k == along else q[k] for k in range(3)]
+        bars.append(F.sqrt(sum(F.greatest(x, F.lit(0.0)) ** 2 for x in b)) + F.least(F.greatest(*b), F.lit(0.0)))
+    return F.least(*bars)
+
+
 def octahedron_distance(size: float, centre: tuple[float, float, float] = (0, 0, 0)) -> Column:
     """Nearest along the sum norm, scaled to length."""
     return (sum(F.abs(F.col(a) - float(c)) for a, c in zip(CELL, centre, strict=True)) - size / 2) * 0.57735027

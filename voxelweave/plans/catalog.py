@@ -12,7 +12,7 @@ from ..functions import address as A
 from ..functions import vectors as V
 from ..operators import bricks, frames, motion, neighbours, volumes
 from ..session import shared_folder
-from ..sources import arrays, container, nvdb
+from ..sources import arrays, container, nvdb, voxfile
 from . import scenes
 
 GOP, GROUP = 4, 3
@@ -408,6 +408,23 @@ _found["curvature"] = curvature, f"""WITH {scenes.SQL[1:]}, {GATHERED}, df AS (S
   round((fx * fx * (fyy * fzz - fyz * fyz) + fy * fy * (fxx * fzz - fxz * fxz) + fz * fz * (fxx * fyy - fxy * fxy) + 2 * (fx * fy * (fxz * fyz - fxy * fzz) + fx * fz * (fxy * fyz - fxz * fyy) + fy * fz * (fxy * fxz - fyz * fxx))) / (n2 * n2), 5) + 0.0 AS gaussian FROM n WHERE n2 > 0"""
 
 
+def weno_norms(s, d):
+    return whole(neighbours.weno_norms(scenes.dense(s, d), F.col("r")).withColumn("norm_squared", F.round("norm_squared", 4)))
+
+
+_steps = {"v": (0, 0, 0)} | neighbours.STEPS
+_slopes = {f"{k}{a}": e for a in "xyz" for k, e in zip("du", neighbours.weno_slopes(a), strict=True)}
+_found["weno_norms"] = weno_norms, f"""WITH {scenes.SQL[1:]}, st AS (SELECT scene, frame, x, y, z, max(r) FILTER (n = 'v')::DOUBLE AS v, {', '.join(f"coalesce(max(r) FILTER (n = '{n}'), 0)::DOUBLE AS {n}" for n in neighbours.STEPS)}
+  FROM (SELECT scene, frame, n, d.x - ox AS x, d.y - oy AS y, d.z - oz AS z, r FROM d , (VALUES {', '.join(f"('{n}', {x}, {y}, {z})" for n, (x, y, z) in _steps.items())}) AS o(n, ox, oy, oz)) GROUP BY ALL HAVING v IS NOT NULL),
+  sl AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _slopes.items())} FROM st)
+  SELECT {VX}, round(CASE WHEN v > 0 THEN {' + '.join(f'greatest(greatest(d{a}, 0) ** 2, least(u{a}, 0) ** 2)' for a in 'xyz')} ELSE {' + '.join(f'greatest(least(d{a}, 0) ** 2, greatest(u{a}, 0) ** 2)' for a in 'xyz')} END, 4) AS norm_squared FROM sl"""
+
+
+@query("SELECT scene, frame::BIGINT AS frame, y::BIGINT AS y, z::BIGINT AS z, min(x)::BIGINT AS x FROM (SELECT *, lag(x) OVER w = x - 1 AND (lag(r) OVER w > 150) <> (r > 150) AS crosses FROM d WINDOW w AS (PARTITION BY scene, frame, y, z ORDER BY x)) WHERE crosses GROUP BY scene, frame, y, z")
+def zero_crossings(s, d):
+    return whole(neighbours.zero_crossings(scenes.dense(s, d), F.col("r"), "x", 150.0))
+
+
 @query(f"SELECT scene, frame::BIGINT AS frame, y::BIGINT AS y, z::BIGINT AS z, min(x)::BIGINT AS x, arg_min(r, x)::BIGINT AS r, arg_min(g, x)::BIGINT AS g, arg_min(b, x)::BIGINT AS b FROM d GROUP BY scene, frame, y, z")
 def axis_first_hits(s, d):
     return whole(neighbours.first_hits_along(scenes.dense(s, d), "x"))
@@ -587,6 +604,25 @@ def model_fill(s, d):
     return whole(frames.fill_frames(s.createDataFrame([("V", 2, 10), ("V", 5, 11), ("V", 6, 12)], "scene string, frame int, model int")))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey WHEN o_orderkey % 3 = 1 THEN 0 ELSE o_orderkey END AS frame FROM orders")
+def model_frames(s, d):
+    """The frame of a model from its attributes: its `_f` as a number, 0 if that isn't one, or the entry where there is none."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    attributes = F.when(k % 3 == 0, F.create_map(F.lit("_f"), c)).when(k % 3 == 1, F.create_map(F.lit("_f"), F.lit("none"))).otherwise(F.create_map(F.lit("name"), c))
+    rows = table(s, d, "orders").select("o_orderkey", attributes.alias("attributes"))
+    return whole(rows.select("o_orderkey", voxfile.frame_of("attributes", k).alias("frame")))
+
+
+@query(f"SELECT scene, frame::BIGINT AS frame, x::BIGINT AS x, z::BIGINT AS y, y::BIGINT AS z, {RGB} FROM m")
+def up_axis_swapped(s, d):
+    return whole(volumes.permuted(scenes.moving(s, d), ("x", "z", "y")).select(*scenes.VOXEL))
+
+
+@query()
+def brick_checksums(s, d):
+    return whole(bricks.checksums(scenes.dense(s, d)))
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
@@ -642,6 +678,26 @@ _primitive("box_level_set", lambda: volumes.box_distance((10, 8, 6)), "sqrt(pow(
 _primitive("octahedron_level_set", lambda: volumes.octahedron_distance(16.0), "(abs(x) + abs(y) + abs(z) - 8.0)::DOUBLE * 0.57735027::DOUBLE", "level_set")
 
 
+def _frame_sql() -> str:
+    p = {a: f"(abs({a}) - {h})" for a, h in zip("xyz", (6.0, 5.0, 4.0), strict=True)}
+    q = {a: f"(abs({p[a]} + 1) - 1)" for a in "xyz"}
+    bars = []
+    for along in "xyz":
+        b = [p[a] if a == along else q[a] for a in "xyz"]
+        bars.append(f"(sqrt({' + '.join(f'pow(greatest({x}, 0), 2)' for x in b)}) + least(greatest({', '.join(b)}), 0))")
+    return f"least({', '.join(bars)})::DOUBLE"
+
+
+_primitive("box_frame_level_set", lambda: volumes.box_frame_distance((12, 10, 8), 1.0), _frame_sql(), "level_set")
+
+
+@query(f"SELECT x AS kx, y AS ky, z AS kz, 2::BIGINT AS n_points FROM ({CUBE}) WHERE abs(sqrt(pow(sqrt(x * x + z * z) - 8, 2) + y * y) - 3) < 1")
+def torus_points(s, d):
+    cells = volumes.level_set(volumes.grid(s, BOX), volumes.torus_distance(8.0, 3.0), 1.0)
+    points = volumes.scatter(cells.select("x", "y", "z"), 2).withColumns({"scene": F.lit("P"), "frame": F.lit(0)})
+    return whole(volumes.points_by(points, "voxel").drop("scene", "frame"))
+
+
 @query("SELECT (k // 81)::BIGINT AS x, (k // 9 % 9)::BIGINT AS y, (k % 9)::BIGINT AS z, 3::BIGINT AS n_points FROM generate_series(0, 728) AS t(k)")
 def point_scatter(s, d):
     points = volumes.scatter(volumes.grid(s, ((0, 0, 0), (8, 8, 8))), 3).withColumns({"scene": F.lit("P"), "frame": F.lit(0)})
@@ -682,6 +738,11 @@ def encoded_frames(s, d):
     return whole(blocks.select("scene", "frame", "type", "voxels"))
 
 
+@query()
+def encoded_sizes(s, d):
+    return whole(container.encoded_sizes(container.encode_groups(scenes.moving(s, d), (32, 24, 24), container.Params(4, 0, True))))
+
+
 @query(f"SELECT {VX}, {RGB} FROM m")
 def grid_files(s, d):
     folder = shared_folder(s, "grids")

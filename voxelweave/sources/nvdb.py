@@ -29,6 +29,18 @@ LEAF_MASK, LEAF_VALUES = 16, 128
 CELLS = "scene string, grid string, x int, y int, z int, vr float, vg float, vb float"
 
 
+def name_hash(name: str) -> int:
+    """The 64-bit key of a grid's name: base 67, with the byte that overflows added back."""
+    key = 0
+    for c in name.encode():
+        key = key * 67 + c + (key >> 56) & (1 << 64) - 1
+    return key
+
+
+def reversed_bytes(word: int) -> int:
+    return int.from_bytes(word.to_bytes(8, "little"), "big")
+
+
 def blosc_chunk(raw: bytes) -> bytes:
     """One Blosc chunk's bytes."""
     import pyarrow as pa
@@ -64,7 +76,8 @@ def grids(content: bytes) -> Iterator[tuple[str, int, dict, bytes]]:
             raise ValueError("a segment is cut short")
         magic, version, count, codec = SEGMENT.unpack_from(content, at)
         if magic != MAGIC:
-            raise ValueError("not a .nvdb file")
+            swapped = int.from_bytes(magic, "little") == reversed_bytes(int.from_bytes(MAGIC, "little"))
+            raise ValueError("a file of the other byte order" if swapped else "not a .nvdb file")
         if version >> 21 != MAJOR:
             raise ValueError("a major version that can't be read")
         at += SEGMENT.size
@@ -176,7 +189,7 @@ def leaf_image(at: np.ndarray, values: np.ndarray) -> bytes:
 def file_bytes(name: str, image: bytes, voxels: int, kind: int = VEC3F) -> bytes:
     """An uncompressed file of one grid."""
     label = name.encode() + b"\0"
-    meta = META.pack(len(image), len(image), 0, voxels, kind, 0, *([0.0] * 6), *([0] * 6), 1.0, 1.0, 1.0, len(label), 0, 0, 0, 0, 0, 0, 0, NONE, 0, MAJOR << 21)
+    meta = META.pack(len(image), len(image), name_hash(name), voxels, kind, 0, *([0.0] * 6), *([0] * 6), 1.0, 1.0, 1.0, len(label), 0, 0, 0, 0, 0, 0, 0, NONE, 0, MAJOR << 21)
     return SEGMENT.pack(MAGIC, MAJOR << 21, 1, NONE) + meta + label + image
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.frames import fill_frames
@@ -130,12 +130,16 @@ def entries(found: DataFrame) -> DataFrame:
     return _per_file(found, "scene string, entry int, model int, attributes map<string,string>", make)
 
 
+def frame_of(attributes: str, entry: Column) -> Column:
+    """The frame that a model is shown at: its attribute `_f` as a number (0 if it isn't one), or its entry where there is none."""
+    digits = F.regexp_extract(F.coalesce(F.try_element_at(attributes, F.lit("_f")), F.lit("")), r"^\s*([+-]?\d+)", 1)
+    return F.when(F.map_contains_key(attributes, "_f"), F.coalesce(F.nullif(digits, F.lit("")).cast("int"), F.lit(0))).otherwise(entry)
+
+
 def load(found: DataFrame, box: tuple[tuple[int, int, int], tuple[int, int, int]]) -> DataFrame:
     """Voxels of animations, y up, in an inclusive box of the file's axes; the last voxel of a cell holds."""
     (x0, y0, z0), (x1, y1, z1) = box
-    digits = F.regexp_extract(F.coalesce(F.try_element_at("attributes", F.lit("_f")), F.lit("")), r"^\s*([+-]?\d+)", 1)
-    at = F.when(F.map_contains_key("attributes", "_f"), F.coalesce(F.nullif(digits, F.lit("")).cast("int"), F.lit(0))).otherwise(F.col("entry"))
-    shown = entries(found).withColumn("frame", at).groupBy("scene", "frame").agg(F.max_by("model", "entry").alias("model"))
+    shown = entries(found).withColumn("frame", frame_of("attributes", F.col("entry"))).groupBy("scene", "frame").agg(F.max_by("model", "entry").alias("model"))
     voxels = model_voxels(found).where(f"x between {x0} and {x1} and y between {y0} and {y1} and z between {z0} and {z1}")
     last = voxels.groupBy("scene", "model", "x", "y", "z").agg(F.max_by("colour", "seq").alias("colour"))
     # a palette has 255 rows a file
