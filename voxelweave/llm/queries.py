@@ -67,9 +67,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (op1_simhash_dedup, op2_fraction_sketch, op3_token_counts, op4_piece_bpe, op5_html_text, op6_embedding_dedup, op7_packing, op8_secret_scan, op9_language_id, op10_token_shards)
 
 
+#: op6 as SQL: all pairs of a label, and a walk along links for the components.
+LINKED_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+  r(a, c) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.c),
+  n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, least(vec_id, coalesce(c, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scan": secret_scan.oracle_sql()}
+    return {"op6_embedding_dedup": LINKED_VECTORS, "op8_secret_scan": secret_scan.oracle_sql()}
