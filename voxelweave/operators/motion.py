@@ -103,7 +103,7 @@ def search(voxels: DataFrame, block: int = 4) -> DataFrame:
     for a, keys in zip(CELL, reach, strict=True):
         before = before.withColumn(f"k{a}", F.explode(keys))
     first = voxels.groupBy("scene").agg(F.min("frame").alias("first"))
-    rows = now.unionByName(before.withColumn("now", F.lit(0))).join(F.broadcast(first), "scene").where("frame > first").drop("first")
+    rows = now.unionByName(before.withColumn("now", F.lit(0))).join(first, "scene").where("frame > first").drop("first")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
