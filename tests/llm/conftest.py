@@ -9,7 +9,7 @@ def make(spark):
 
     def build(rows, schema):
         df = spark.createDataFrame(rows, schema)
-        return df.selectExpr("*", "'x' AS component_id", "1 AS `print`", "'y' AS spans", "2.0 AS score")
+        return df.selectExpr("*", "'x' AS component_id", "1 AS `print`", "'y' AS spans", "2.0 AS score", "'r' AS rules", "'l' AS lang_pred", "7 AS host", "9 AS node")
 
     return build
 

@@ -18,7 +18,7 @@ def test_pipeline_against_plain_python(spark, tmp_path, roots):
     texts = [(" ".join(rnd.choice(words[x]) + str(rnd.randrange(9)) * (k % 3 == 0) + rnd.choice(["", "", "q", "zz"]) for _ in range(60)), x) for k in range(30) for x in words]
     texts += [texts[0], (texts[2][0].upper(), "en"), ("123 !!", "en"), (None, None), ("", "de"), ('the cat password="hunter22" and the dog', "en"), ("der hund " * 3000, "de")]
     rows = [(i, t, x, "s", len(t or "")) for i, (t, x) in enumerate(texts)]
-    spark.createDataFrame([*rows, rows[5]], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*rows, rows[5]], DOCS).selectExpr("*", "1 AS score", "'z' AS spans", "2 AS component_id").write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     prints = [simhash.fingerprint(r[1]) for r in kept]

@@ -185,7 +185,10 @@ def test_trigram_queries():
 
 def test_redact(make):
     rows = [(i, t) for i, t in enumerate([*SECRETS, None, ""])]
-    got = dict(map(tuple, secret_scan.redact(make(rows, DOCS).selectExpr("doc_id", "text", "1L n_chars")).select("doc_id", "text").collect()))
+    docs = make(rows, DOCS).selectExpr("*", "1L n_chars")
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns and {r["spans"] for r in clean.select("spans").collect()} == {"y"}
+    got = dict(map(tuple, clean.select("doc_id", "text").collect()))
     for i, t in rows:
         out, at = "", 0
         for a, _, b in plain_spans(t):
@@ -230,7 +233,7 @@ def test_op9_rows(make, spark):
     model = language_id.fit(make(rows, schema))
     assert model.langs == ["de", "en"]
     asked = ["the dog", "Hund", "undsoweiter", "12 !", "", None, "日本", "catalog", "die " * 100_000]
-    got = {r["doc_id"]: r for r in language_id.predict(make([(i, t, None) for i, t in enumerate(asked)] + [(None, "the", None), (3, "12 !", None)], schema).drop("score"), model).collect()}
+    got = {r["doc_id"]: r for r in language_id.predict(make([(i, t, None) for i, t in enumerate(asked)] + [(None, "the", None), (3, "12 !", None)], schema), model).collect()}
     for i, t in enumerate(asked):
         if t is None or not any(c.isalpha() for c in t):
             assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
@@ -240,8 +243,8 @@ def test_op9_rows(make, spark):
     assert got[None]["lang_pred"] == "en"
     assert got[0]["component_id"] == "x"
     nothing = language_id.fit(make([], schema))
-    assert [r["lang_pred"] for r in language_id.predict(make([(1, "the", None)], schema).drop("score"), nothing).collect()] == ["und"]
-    assert language_id.predict(make([], schema).drop("score"), model).collect() == []
+    assert [r["lang_pred"] for r in language_id.predict(make([(1, "the", None)], schema), nothing).collect()] == ["und"]
+    assert language_id.predict(make([], schema), model).collect() == []
 
 
 def test_fit_is_bounded(make):

@@ -153,7 +153,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; every column of docs is kept."""
+    """docs with lang_pred and score, which replace columns of these names; every other column is kept."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
 

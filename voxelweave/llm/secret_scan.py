@@ -176,10 +176,10 @@ def spans_of(text: Column, rule: Rule, at: int) -> Column:
     return F.aggregate(zipped, start, step, lambda s: s["out"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with `spans`: array<struct<start, place, stop>> by start and then rule; place is the rule's number from 0."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "spans") -> DataFrame:
+    """docs with a column `into`: array<struct<start, place, stop>> by start and then rule; place is the rule's number from 0."""
     found = candidates(trigram_index(docs, rules), rules)
-    joined = docs.withColumn("text", F.coalesce("text", F.lit(""))).join(found.withColumnRenamed("doc_id", "cand_id"), F.col("doc_id") == F.col("cand_id"), "left")
+    joined = docs.withColumn("text", F.coalesce("text", F.lit(""))).join(found.toDF("_candidate", "_rules"), F.col("doc_id") == F.col("_candidate"), "left")
     none = F.array().cast("array<struct<start:int,place:int,stop:int>>")
     own = []
     for at, r in enumerate(rules):
@@ -188,9 +188,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             run = re.fullmatch(r"(\[[^]]+\])\+", r.regex)
             maybe = F.col("text").rlike(f"{run[1]}{{{r.least}}}" if run and r.least else r.regex)
         else:
-            maybe = F.col("doc_id").isNull() | F.coalesce(F.array_contains("rules", r.kind), F.lit(False))
+            maybe = F.col("doc_id").isNull() | F.coalesce(F.array_contains("_rules", r.kind), F.lit(False))
         own.append(F.when(maybe, spans_of(F.col("text"), r, at)).otherwise(none))
-    return joined.withColumn("spans", F.sort_array(F.concat(*own))).drop("cand_id", "rules")
+    return joined.withColumn(into, F.sort_array(F.concat(*own))).drop("_candidate", "_rules")
 
 
 def written(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -214,7 +214,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each run of overlapping spans replaced by `mark`, and n_chars as it then is."""
     columns = docs.columns
-    rows = scan(docs, rules)
+    rows = scan(docs, rules, "_spans")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -222,8 +222,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
         gap = F.substring("text", state["pos"] + 1, F.greatest(F.lit(0), s["start"] - state["pos"]))
         return F.struct(F.greatest(state["pos"], s["stop"]).alias("pos"), F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
 
-    done = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring("text", s["pos"] + 1, F.char_length("text"))))
-    clean = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
+    done = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring("text", s["pos"] + 1, F.char_length("text"))))
+    clean = F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))
     return rows.withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast("long")).select(columns)
 
 
