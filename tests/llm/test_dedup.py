@@ -138,9 +138,10 @@ def test_op6_rows(make, roots, monkeypatch, block):
 
 
 def test_op6_repeats_and_nulls(make):
-    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (None, [1.0, 0.0], 0)]
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (None, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (-1, [0.0, 1.0], 0)]
     got = sorted(map(tuple, embedding_dedup.near_duplicates(make(rows, "vec_id long, embedding array<float>, label int")).collect()), key=repr)
-    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, False)]
+    # vec_id 2 has two vectors, one of them equal to another's
+    assert got == sorted([(-1, 1, -1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, -1, False), (2, 2, 1, False), (None, 0, None, False)], key=repr)
     assert embedding_dedup.near_duplicates(make([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
@@ -164,3 +165,16 @@ def test_binary_codes_bound_and_estimate():
 
 def test_keys_are_spread(spark):
     assert spark.range(10).select(F.pmod(F.xxhash64("id"), F.lit(7))).distinct().count() > 1
+
+
+def test_op6_sql(spark):
+    import duckdb
+
+    from voxelweave.llm.queries import op6_embedding_dedup, oracle_sql
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    rel = con.sql(oracle_sql()["op6_embedding_dedup"])
+    got = op6_embedding_dedup(spark, "/root/testdata/sf0.001")
+    assert rel.columns == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(rel.fetchall())

@@ -12,7 +12,8 @@ row with a weight. A large bucket is cut into blocks; a task compares two blocks
 and a spanning forest, never the pairs. A pair met in several tables counts in the first of them.
 
 Cases: a null label, and a vector that is null, zero or holds a null or non-finite component, link with nothing and are
-their own component; a null vec_id isn't linked and has a null component; repeated vec_ids are returned each; an empty table
+their own component; a null vec_id isn't linked and has a null component; rows of one vec_id are returned
+each with its own links, and vectors whose groups of equals have the same least vec_id share a component; an empty table
 gives no rows; other columns are ignored; vectors of different lengths don't link.
 """
 
@@ -26,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 from .components import components
@@ -47,6 +49,12 @@ def rotations(dim: int, bits: int, seed: int = SEED) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0].T for _ in range(-(-bits // dim))])
 
 
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Rows at length one; scaled first, so that squares neither overflow nor vanish."""
+    v = v / np.abs(v).max(axis=1)[:, None]
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
 def table_keys(units: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """(rows, tables) integers of sign bits."""
     turned = units @ rotations(units.shape[1], bits * tables)[: bits * tables].T > 0
@@ -114,8 +122,8 @@ def candidates(key: np.ndarray, units: np.ndarray, cosine: float) -> Iterator[np
 
 def compare(rows: pd.DataFrame, bits: int, tables: int, cosine: float) -> pd.DataFrame:
     """Rows of some buckets of one table, or two blocks of one bucket: link weights of nodes, and a spanning forest of the links."""
-    node, weight, side, t = rows["node"].to_numpy(), rows["weight"].to_numpy(), rows["side"].to_numpy(), int(rows["tab"].iloc[0])
-    units = np.stack(rows["unit"].to_numpy())
+    node, tag, weight, side, t = rows["node"].to_numpy(), rows["tag"].to_numpy(), rows["weight"].to_numpy(), rows["side"].to_numpy(), int(rows["tab"].iloc[0])
+    units = unit_rows(np.stack(rows["v"].to_numpy()).astype(np.float64))
     own = table_keys(units, bits, t) if t else None
     if rows["one"].iloc[0] == rows["two"].iloc[0]:
         parts = candidates(rows["key"].to_numpy(), units, cosine)
@@ -134,8 +142,9 @@ def compare(rows: pd.DataFrame, bits: int, tables: int, cosine: float) -> pd.Dat
     ends = np.array(tree, dtype=np.int64).reshape(-1, 2)
     return pd.DataFrame({
         "node": np.concatenate((node[some], node[ends[:, 0]])),
+        "tag": np.concatenate((tag[some], tag[ends[:, 0]])),
         "n": np.concatenate((count[some].astype(np.int64), np.zeros(len(tree), np.int64))),
-        "other": np.concatenate((np.full(len(some), -1), node[ends[:, 1]])),
+        "other": pd.array([*[None] * len(some), *node[ends[:, 1]].tolist()], dtype="Int64"),
     })
 
 
@@ -146,7 +155,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", values.alias("v"), F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("ok"))
     rows = rows.withColumn("v", F.when(F.col("ok"), F.col("v")))
     # equal vectors as one row; -0.0 and 0.0 are the same
-    same = rows.where("ok").groupBy("label", F.transform("v", lambda x: x + 0.0).alias("v")).agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
+    same = rows.where("ok").groupBy("label", F.transform("v", lambda x: x + 0.0).alias("v")).agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).withColumn("tag", F.xxhash64("label", "v"))
     same = materialise(same, "vectors")
     largest = same.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits, tables = plan_tables(largest, cosine, miss)
@@ -157,32 +166,30 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
             sizes = lists.value_lengths().to_numpy()
             for n in np.unique(sizes):
                 of = np.flatnonzero(sizes == n)
-                v = lists.take(pa.array(of)).flatten().to_numpy().reshape(len(of), int(n))
-                v = v / np.abs(v).max(axis=1)[:, None]
-                v = v / np.linalg.norm(v, axis=1)[:, None]
-                for at in range(0, len(of), 1024):
-                    part = v[at : at + 1024]
-                    key = table_keys(part, bits, tables)
-                    m = len(part)
-                    rest = batch.take(pa.array(np.repeat(of[at : at + 1024], tables)))
-                    unit = pa.ListArray.from_arrays(pa.array(np.arange(0, m * int(n) + 1, int(n), dtype=np.int32)), pa.array(part.ravel())).take(pa.array(np.repeat(np.arange(m), tables)))
-                    yield pa.RecordBatch.from_arrays([rest.column(0), pa.array(np.full(m * tables, n, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), m)), pa.array(key.ravel()), rest.column(2), rest.column(3), unit], ["label", "dim", "tab", "key", "node", "weight", "unit"])
-
-    kind = "label int, dim int, tab int, key long, node long, weight long, unit array<double>"
+                v = unit_rows(lists.take(pa.array(of)).flatten().to_numpy().reshape(len(of), int(n)))
+                for at in range(0, len(of), 4096):
+                    key = table_keys(v[at : at + 4096], bits, tables)
+                    m = len(key)
+                    rest = batch.take(pa.array(np.repeat(of[at : at + 4096], tables)))
+                    yield pa.RecordBatch.from_arrays([rest.column(0), pa.array(np.full(m * tables, n, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), m)), pa.array(key.ravel()), rest.column(2), rest.column(3)], ["label", "dim", "tab", "key", "node", "tag"])
+
     bucket = ["label", "dim", "tab", "key"]
-    all_keys = same.select(F.col("label").cast("int").alias("label"), "v", "node", "weight").mapInArrow(keyed, kind)
+    all_keys = same.select(F.col("label").cast("int").alias("label"), "v", "node", "tag").mapInArrow(keyed, "label int, dim int, tab int, key long, node long, tag long")
     sizes = all_keys.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1")
-    member = all_keys.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    # vectors join only the keys that meet others, as floats where they came as floats
+    single = vectors.schema["embedding"].dataType.elementType == T.FloatType()
+    payload = same.select("node", "tag", "weight", F.col("v").cast("array<float>" if single else "array<double>").alias("v"))
+    member = all_keys.join(sizes, bucket).join(payload, ["node", "tag"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("one"), F.greatest(k, F.col("own")).alias("two"), (k < F.col("own")).cast("int").alias("side")))
-    blocks = member.select("*", F.explode(meets).alias("meet")).select(*bucket, "blocks", "node", "weight", "unit", "meet.*")
+    blocks = member.select("*", F.explode(meets).alias("meet")).select(*bucket, "blocks", "node", "tag", "weight", "v", "meet.*")
     # buckets of one block are compared some hundreds at a time, those of one key prefix; a larger bucket's blocks each for themselves
     batch = F.when(F.col("blocks") == 1, F.shiftright("key", BATCH_BITS)).otherwise(-1 - F.col("key"))
-    found = blocks.withColumn("part", batch).groupBy("label", "dim", "tab", "part", "one", "two").applyInPandas(lambda x: compare(x, bits, tables, cosine), "node long, n long, other long")
+    found = blocks.withColumn("part", batch).groupBy("label", "dim", "tab", "part", "one", "two").applyInPandas(lambda x: compare(x, bits, tables, cosine), "node long, tag long, n long, other long")
     found = materialise(found, "vector-links")
-    counts = found.where("other = -1").groupBy("node").agg(F.sum("n").alias("n"))
-    joined = components(found.where("other <> -1").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    nodes = same.join(counts, "node", "left").join(joined, "node", "left")
+    counts = found.where("other is null").groupBy("node", "tag").agg(F.sum("n").alias("n"))
+    joined = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    nodes = same.join(counts, ["node", "tag"], "left").join(joined, "node", "left")
     nodes = nodes.select(F.col("label").alias("l"), F.col("v").alias("same_v"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("c"))
     out = rows.join(nodes, (rows["label"] == nodes["l"]) & (F.transform(rows["v"], lambda x: x + 0.0) == nodes["same_v"]), "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
