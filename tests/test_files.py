@@ -39,7 +39,7 @@ def vox_bytes(models, shown, palette=None):
 
 
 def test_moving_dot(spark, tmp_path):
-    path = str(tmp_path / "dot.splv")
+    path = str(tmp_path / "dot.voxels")
     enc = api.VoxelEncoder(spark, 16, 16, 16, 1.0, 10, 512, True, path)
     for i in range(16):
         enc.encode_numpy_frame_byte(dot(i))
@@ -51,8 +51,8 @@ def test_moving_dot(spark, tmp_path):
     raw = spark.read.format("binaryFile").load(path)
     assert rows(container.read_column(raw)) == rows(container.read(spark, path))
     assert api.split(spark, path, 5.5, str(tmp_path / "parts")) == 4
-    back = str(tmp_path / "back.splv")
-    api.concat(spark, [str(tmp_path / f"parts/split_{k:04d}.splv") for k in range(4)], back)
+    back = str(tmp_path / "back.voxels")
+    api.concat(spark, [str(tmp_path / f"parts/split_{k:04d}.voxels") for k in range(4)], back)
     assert rows(container.read(spark, back)) == rows(container.read(spark, path))
     with pytest.raises(ValueError, match="closed"):
         enc.encode_numpy_frame_byte(dot(0))
@@ -64,7 +64,7 @@ def test_encoder_checks(spark, tmp_path):
             api.VoxelEncoder(spark, *dims, 1.0)
     with pytest.raises(ValueError):
         api.VoxelEncoder(spark, 8, 8, 8, 0.0)
-    enc = api.VoxelEncoder(spark, 8, 8, 8, 1.0, output_path=str(tmp_path / "x.splv"))
+    enc = api.VoxelEncoder(spark, 8, 8, 8, 1.0, output_path=str(tmp_path / "x.voxels"))
     with pytest.raises(ValueError):
         enc.encode_numpy_frame_byte(dot(0))
     with pytest.raises(ValueError):
@@ -74,7 +74,7 @@ def test_encoder_checks(spark, tmp_path):
 
 
 def test_empty_frames(spark, tmp_path):
-    path = str(tmp_path / "e.splv")
+    path = str(tmp_path / "e.voxels")
     enc = api.VoxelEncoder(spark, 8, 8, 8, 2.0, output_path=path)
     for _ in range(3):
         enc.encode_numpy_frame_byte(np.zeros((8, 8, 8, 4), np.uint8))
@@ -103,13 +103,13 @@ def test_older_file_and_upgrade(spark, tmp_path):
     blob = codec.range_encode(brick)
     block = struct.pack("<IQI", 1, 2, 1) + struct.pack("<QQ", 0, 2) + blob
     head = container.OLD_HEADER.pack(container.MAGIC, container.OLD_VERSION, 8, 8, 8, 2.0, 1, 0.5, 1, 256, 48 + len(block))
-    path = tmp_path / "old.splv"
+    path = tmp_path / "old.voxels"
     path.write_bytes(head + block + struct.pack("<Q", 48))
     expected = [(0, 0, 0, 0, 9, 9, 9), (0, 5, 1, 1, 9, 9, 9)]
     assert rows(container.read(spark, str(path))) == expected
-    api.upgrade(spark, str(path), str(tmp_path / "new.splv"))
-    assert rows(container.read(spark, str(tmp_path / "new.splv"))) == expected
-    meta = api.get_metadata(spark, str(tmp_path / "new.splv"))
+    api.upgrade(spark, str(path), str(tmp_path / "new.voxels"))
+    assert rows(container.read(spark, str(tmp_path / "new.voxels"))) == expected
+    meta = api.get_metadata(spark, str(tmp_path / "new.voxels"))
     assert meta["version"] == "0.3.0.0" and meta["encodingParams"]["motionVectors"]
     assert api.dump_to_nvdb(spark, str(path), str(tmp_path / "grids")) == 1
 
@@ -196,7 +196,7 @@ def test_streams_of_relations(spark):
 
 def test_command_line(spark, tmp_path):
     (tmp_path / "a b.vox").write_bytes(vox_bytes([[(1, 2, 3, 1)]], [(0, 0)]))
-    out = str(tmp_path / "c.splv")
+    out = str(tmp_path / "c.voxels")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         session = cli.Session(api.VoxelEncoder(spark, 8, 8, 8, 1.0, 1, 256, False, out))

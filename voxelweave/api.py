@@ -18,7 +18,7 @@ Box = tuple[tuple[int, int, int], tuple[int, int, int]]
 class VoxelEncoder:
     """Frames are added in order as lazy relations; finish() encodes them, a group of pictures a task, and writes the file."""
 
-    def __init__(self, spark: SparkSession, width: int, height: int, depth: int, framerate: float, gop_size: int = 1, max_brick_group_size: int = 256, motion_vectors: bool = True, output_path: str = "out.splv"):
+    def __init__(self, spark: SparkSession, width: int, height: int, depth: int, framerate: float, gop_size: int = 1, max_brick_group_size: int = 256, motion_vectors: bool = True, output_path: str = "out.voxels"):
         checked_dims(width, height, depth)
         if not framerate > 0:
             raise ValueError("the frame rate must be positive")
@@ -129,7 +129,7 @@ def concat(spark: SparkSession, paths: list[str], out: str) -> None:
 
 
 def split(spark: SparkSession, path: str, seconds: float, folder: str) -> int:
-    """Parts `split_0000.splv` and so on, of so many seconds; returns how many."""
+    """Parts `split_0000` and so on, with the file's own suffix, of so many seconds; returns how many."""
     from pyspark.sql import functions as F
 
     meta = get_metadata(spark, path)
@@ -138,7 +138,7 @@ def split(spark: SparkSession, path: str, seconds: float, folder: str) -> int:
     parts = -(-meta["frameCount"] // size)
     for k in range(parts):
         own = voxels.where((F.col("part") == k) & F.col("frame").between(k * size, (k + 1) * size - 1)).select("scene", F.col("part_frame").cast("int").alias("frame"), "x", "y", "z", "r", "g", "b")
-        _rewritten(spark, own, f"{folder}/split_{k:04d}.splv", meta, min(size, meta["frameCount"] - k * size))
+        _rewritten(spark, own, f"{folder}/split_{k:04d}{Path(path).suffix}", meta, min(size, meta["frameCount"] - k * size))
     return parts
 
 

@@ -288,7 +288,7 @@ def encode_groups(voxels: DataFrame, dims: tuple[int, int, int], params: Params,
     return rows.groupBy("scene", "gop").applyInPandas(run, "scene string, gop int, frame int, type string, voxels long, block binary")
 
 
-def write(voxels: DataFrame, folder: str, dims: tuple[int, int, int], framerate: float, params: Params | None = None, frames: int | None = None, suffix: str = ".splv") -> DataFrame:
+def write(voxels: DataFrame, folder: str, dims: tuple[int, int, int], framerate: float, params: Params | None = None, frames: int | None = None, suffix: str = ".voxels") -> DataFrame:
     """Writes each scene as a file `<scene><suffix>` in a folder that all machines share; returns scene, path, frames and bytes.
 
     A scene's blocks come to one task in order and are written as they come; a file appears under its name when it is whole.
