@@ -29,6 +29,8 @@ LONGEST, CERTAIN, SMOOTHING, PER_LANGUAGE = 4, 30, 0.5, 2000
 UNDETERMINED = "und"
 #: Distinct counts that a task holds before it hands them on.
 HELD = 400_000
+#: Unseen words whose scores a model keeps at hand.
+CACHED = 100_000
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -106,7 +108,7 @@ class Model:
         at = np.array([known.get(w, -1) for w in words], dtype=np.int64)
         seen = at >= 0
         out[seen] = self.logs[0][at[seen]]
-        if len(self.cache) > HELD:
+        if len(self.cache) > CACHED:
             self.cache.clear()
         for i in np.flatnonzero(~seen).tolist():
             w = words[i]
