@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm import language_id, secret_scan, simhash
+from voxelweave.llm import language_id, near_copies, secret_scan
 from voxelweave.llm.common import materialise, table
 from voxelweave.llm.packing import pack
 from voxelweave.llm.queries import WORD_FILE, tokenizer_file
@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each group of near-duplicates."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Keeps the document of the least doc_id of each group of near-copies: five-word shingles, Jaccard similarity of at least 0.8."""
+    return near_copies.keep_one(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("language id", identify_language), ("near-dedup", drop_near_copies), ("secret scan", redact_secrets), ("packing", pack_windows)]
 
-#: Language models, fingerprints over distinct texts and tokenizers are not SQL; tests hold the stages to brute force.
+#: Language models, minimum hashes and tokenizers are not SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 

@@ -40,3 +40,62 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark):
         assert docs.columns == list(corpus_pipeline.COLUMNS)
     assert docs.count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language id", "near-dedup", "secret scan", "packing"]
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_dedup_against_brute_force_jaccard(spark, roots):
+    """Every pair of at least 0.8 over the documents of sf0.01, few bits of SimHash apart or many."""
+    from collections import defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    sets = [plain_shingles(t) for _, t in rows]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    pairs = {(h[0], i) for h in holders.values() for i in h[1:]} | {(i, j) for h in holders.values() if len(h) <= 60 for i in h for j in h if i < j}
+    links = [(i, j) for i, j in pairs if alike(sets[i], sets[j])]
+    assert any(sets[i] != sets[j] and (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > 2 for i, j in links)
+    comp = roots(len(rows), links)
+    empty = [i for i, s in enumerate(sets) if not s]
+    expected = {rows[i][0] for i in range(len(rows)) if comp[i] == i} - {rows[i][0] for i in empty[1:]}
+    got = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got) == sorted(expected)
+
+
+def test_near_dedup_of_crowds_chains_and_repeated_ids(spark, roots, monkeypatch):
+    import random
+
+    from voxelweave.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "VOLUME", 2000)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):  # a crowd about one text, a few edits each
+        t = list(base)
+        for _ in range(rnd.randrange(4)):
+            t[rnd.randrange(120)] = "edit%d" % rnd.randrange(10**6)
+        texts.append(" ".join(t))
+    for _ in range(12):  # a chain: each a step from the one before
+        base = base[6:] + [f"w{rnd.randrange(10**6)}" for _ in range(6)]
+        texts.append(" ".join(base))
+    texts += ["one", "ONE ", "a b c d e", "a b c d f"]
+    rows = [(1000 - i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    sets = [plain_shingles(t) for t in texts]
+    comp = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+    least = {c: min(r[0] for r, k in zip(rows, comp, strict=True) if k == c) for c in comp}
+    twice = [(5, "a text that is unlike all of the others here", "en", "s", 1), (5, "and one more of the very same id but other words", "en", "s", 1)]
+    nameless = [(None, "one", "en", "s", 3)] * 2
+    got = [tuple(r)[:2] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([*rows, *rows[:3], *twice, twice[0], *nameless], DOCS), "").collect()]
+    expected = [r[:2] for r in rows if r[0] in set(least.values())]
+    assert sorted(got, key=repr) == sorted([*expected, *(r[:2] for r in twice), *(r[:2] for r in nameless)], key=repr)
