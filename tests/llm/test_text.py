@@ -55,6 +55,34 @@ def test_sketch_retains_a_fraction_and_estimates_containment(spark):
     assert len(sketches[4]) == 1
 
 
+def test_op2_of_short_texts_is_exact_containment(make):
+    import random
+
+    rnd = random.Random(12)
+    book = [f"w{rnd.randrange(10**6)}" for _ in range(6000)]
+    rows = [(0, " ".join(book))]
+    for n in range(10, 61):
+        at = rnd.randrange(5000)
+        rows += [(2 * n, " ".join(book[at : at + n])), (2 * n + 1, " ".join([*book[at : at + n - 3], "x", "y", "z"]))]
+    rows += [(1, " ".join(book[100:110]))]  # the next one is the book
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def containment(a, b):
+        a, b = shingles(a), shingles(b)
+        return len(a & b) / min(len(a), len(b))
+
+    order = sorted(rows, reverse=True)
+    got = {r["doc_id"]: r for r in fraction_sketch.fingerprints(make(rows, DOCS)).collect()}
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(t) // 2
+        assert got[i]["near_next"] == pytest.approx(containment(t, after)), i
+        assert got[i]["near_edited"] == pytest.approx(containment(t, t[: len(t) - half] + after[:half])), i
+    assert got[1]["near_next"] == 1.0
+
+
 def test_next_document_across_buckets(spark):
     ids = [*range(0, 3000, 3), *range(10**12, 10**12 + 40), -5, 2**62]
     rows = [(i, f"text {i}") for i in ids]

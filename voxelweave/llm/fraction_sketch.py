@@ -1,10 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions alone.
 
 A text's words are runs without ASCII white space, in lower case; a shingle is five words in a row (fewer words: all of them). A
-sketch retains every distinct shingle hash below 1/SCALE of the hash range, and so grows with its text. Sketches of
-parts merge by union, and the share of the smaller sketch that the larger one holds estimates containment even between a
-note and a book. A sketch that would be empty retains the least hash instead; a merge drops it once another is below
-the threshold.
+sketch retains every distinct shingle hash below 1/SCALE of the hash range of 63 bits: all of them at a SCALE of 1, since of a
+short text any share is too few, and a larger text's sketch has to hold what a shorter one's does. Sketches of parts merge by
+union; the share of the smaller sketch that the larger one holds is the containment, also of a note in a book.
 
 Cases: a null text is an empty one; an empty text's sketch is empty; two empty sketches are alike (1), one
 empty sketch is unlike any other (0); a null doc_id comes after all others; rows of one doc_id follow in falling order of
@@ -16,10 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHINGLE, SCALE = 5, 8
+SHINGLE, SCALE = 5, 1
 #: Documents of a bucket of the order by doc_id, about.
 BUCKET = 256
-LOWEST = -(1 << 63)
 
 
 def held(value: Column, use) -> Column:
@@ -37,10 +35,8 @@ def sketch(text: Column) -> Column:
         return F.when(F.size(w) < SHINGLE, whole).otherwise(runs)
 
     def retained(h: Column) -> Column:
-        low = F.filter(h, lambda x: (x >= 0) & (x < (1 << 64) // SCALE))
-        flip = lambda x: x.bitwiseXOR(F.lit(LOWEST))  # noqa: E731  unsigned order as signed order
-        least = F.array(flip(F.array_min(F.transform(h, flip))))
-        return held(low, lambda x: F.when((F.size(x) > 0) | (F.size(h) == 0), F.sort_array(F.array_distinct(x))).otherwise(least))
+        short = F.transform(h, lambda x: F.shiftrightunsigned(x, 1))
+        return F.sort_array(F.array_distinct(F.filter(short, lambda x: x <= ((1 << 63) // SCALE - 1))))
 
     hashed = F.transform(words, lambda x: F.xxhash64(x))
     return held(held(hashed, shingles), retained)
@@ -51,7 +47,7 @@ def as_text(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated containment of the smaller text in the larger."""
+    """Containment of the smaller text's sketch in the larger's."""
     least = F.least(F.size(a), F.size(b))
     shared = F.size(F.array_intersect(a, b)) / least.cast("double")
     return F.when(least > 0, shared).otherwise(((F.size(a) == 0) & (F.size(b) == 0)).cast("double"))
@@ -71,7 +67,7 @@ def next_bucket(rows: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, own sketch, and the text and sketch of the next document in falling order of doc_id.
 
-    Texts are shuffled once, by bucket of that order; only one row of each bucket moves again.
+    Texts are shuffled once, by bucket of that order, and sketched after that; only one row of each bucket moves again.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -79,11 +75,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20)") - F.lit(low or 0).cast("decimal(20)")) / width).cast("long"), F.lit(-1))
     rows = docs.withColumn("bucket", bucket)
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    dealt = rows.withColumn("sketch", sketch(F.col("text"))).withColumn("following", F.lead(F.struct("text", "sketch")).over(order))
-    heads = rows.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    heads = heads.select(F.col("bucket").alias("after"), F.struct("text", sketch(F.col("text")).alias("sketch")).alias("head"))
+    dealt = rows.withColumn("following", F.lead("text").over(order))
+    heads = rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(F.col("bucket").alias("after"), F.col("text").alias("head"))
     ends = next_bucket(rows).join(heads, "after").select("bucket", "head")
-    return dealt.join(ends, "bucket", "left").select("doc_id", "text", "sketch", F.coalesce("following", "head").alias("next"))
+    found = dealt.join(ends, "bucket", "left").select("doc_id", "text", F.coalesce("following", "head").alias("following"))
+    return found.select("doc_id", "text", sketch(F.col("text")).alias("sketch"), F.struct(F.col("following").alias("text"), sketch(F.col("following")).alias("sketch")).alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
