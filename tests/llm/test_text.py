@@ -137,6 +137,18 @@ def test_op5_rows(make):
     assert html_text.main_text(make([], PAGES)).collect() == []
 
 
+def test_op5_keeps_all_main_text(make):
+    lead, body, note = "lead " * 30, "body " * 168, "note " * 4
+    page = f"<body><h1>Title</h1><div class=lead>{lead}</div><div class=body>{body}</div></body>"
+    assert html_text.extract(page, None) == "\n".join(["Title", lead.strip(), body.strip()])
+    # two templates of a host: the second has only a scrap on the first one's path
+    rows = [(i, "https://a/", f"<body><div class=story><p>{body}</p></div></body>") for i in range(5)]
+    rows += [(5, "https://a/", f"<body><div class=story>{note}</div><div class=text><p>{lead}</p><p>{body}</p></div></body>")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(make(rows, PAGES)).collect()}
+    assert got[0] == body.strip()
+    assert got[5] == "\n".join([note.strip(), lead.strip(), body.strip()])
+
+
 def test_op5_on_the_pages(spark):
     rows = html_text.main_text(table(spark, DATA, "pages")).collect()
     pages = {r["page_id"]: r["html"] for r in table(spark, DATA, "pages").collect()}

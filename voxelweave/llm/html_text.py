@@ -2,10 +2,12 @@
 
 Each page's containers are scored by the text in them, less text in links, with boilerplate left out; the page votes for the
 path of its best one. A path is the tags from the root, each with its classes, numbers generalised. Spark adds up the votes of each host; in a
-second pass a page is extracted from the containers on its host's winning path, or from its own best one where it has none.
+second pass a page is extracted from the containers on its host's winning path if those hold all of the main text of its own
+best path, else from those on its own.
 
 Boilerplate is what its tag, role, class or id says: menus, headers (but their headings inside an article), footers, sidebars,
-notices, adverts, forms, scripts, styles, comments. Text in one block has its white space, line breaks included, turned to single spaces.
+notices, adverts, forms, scripts, styles, comments. Nothing else is left out, but for teasers (by class or id) of at most a fifth of the
+page beside the best container or off the host's path. Text in one block has its white space, line breaks included, turned to single spaces.
 
 Cases: a null or empty html, and a page without text, give an empty text; a null url is a host of its own name ''; a null page_id is
 kept; repeated rows vote and are extracted each; an empty table gives no rows; other columns are ignored.
@@ -39,6 +41,8 @@ DROPPED_TAGS = frozenset("nav aside footer form button select option dialog menu
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 DROPPED_WORDS = frozenset("ad ads adv advert alert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus sidebar aside footer comment comments respond reply replies disqus cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended breadcrumb breadcrumbs pagination pager widget masthead topbar toolbar skip login disclaimer".split())
 HEADER_WORDS = frozenset("header".split())
+#: Words of parts that a best container need not hold.
+ASIDE_WORDS = frozenset("teaser teasers".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -51,15 +55,18 @@ class Element:
     dropped: bool
     parent: Element | None
     is_header: bool = False
+    is_aside: bool = False
     number: int = 0
     size: int = 0
     linked: int = 0
     blocks: list = field(default_factory=list)
+    #: Numbers of those blocks that are asides.
+    asides: set = field(default_factory=set)
 
 
 @functools.lru_cache(maxsize=1 << 14)
-def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Path step, whether the element is boilerplate, whether it is a header."""
+def described(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Path step, whether the element is boilerplate, whether it is a header, whether it is an aside."""
     classes, words, names, dropped = [], set(), set(), tag in DROPPED_TAGS
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
         name, value = name.lower(), (a or b or c).lower()
@@ -78,7 +85,7 @@ def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
     elif tag not in ("body", "html"):
         dropped |= bool(words & DROPPED_WORDS)
     step = tag + "".join("." + NUMBER.sub("#", c) for c in classes)
-    return step, dropped, tag == "header" or bool(words & HEADER_WORDS) and tag in CONTAINERS
+    return step, dropped, tag == "header" or bool(words & HEADER_WORDS) and tag in CONTAINERS, bool(words & ASIDE_WORDS)
 
 
 def parse(page: str) -> list[Element]:
@@ -108,6 +115,8 @@ def parse(page: str) -> list[Element]:
             return
         number += 1
         e = current
+        if current.is_aside:
+            root.asides.add(number)
         while e is not None:
             if e.tag in CONTAINERS or e is root:
                 e.blocks.append((number, text))
@@ -138,7 +147,7 @@ def parse(page: str) -> list[Element]:
                 continue
             if not m[3].strip(" /"):
                 continue
-            step, dropped, _ = described(tag, m[3])
+            step, dropped, _, _ = described(tag, m[3])
             if not dropped:
                 continue
             # a hidden or marked inline element is dropped as a whole
@@ -175,8 +184,8 @@ def parse(page: str) -> list[Element]:
                 e = e.parent
             if last is not None:
                 current = last.parent
-        step, dropped, header = described(tag, m[3])
-        current = Element(tag, f"{current.path}>{step}", dropped or current.dropped, current, header)
+        step, dropped, header, aside = described(tag, m[3])
+        current = Element(tag, f"{current.path}>{step}", dropped or current.dropped, current, header, aside or current.is_aside)
         if tag in CONTAINERS:
             current.number = len(found)
             found.append(current)
@@ -190,15 +199,23 @@ def parse(page: str) -> list[Element]:
     return found
 
 
+def main_blocks(root: Element, blocks: list[tuple[int, str]]) -> set[int]:
+    """Numbers of the blocks that aren't asides; of all if there are only asides."""
+    numbers = {n for n, _ in blocks}
+    return numbers - root.asides or numbers
+
+
 def best(found: list[Element]) -> Element:
-    """The deepest container that still holds nearly all unlinked text, or an article or main element with most of it."""
+    """The deepest container that holds all text but asides, and most unlinked text, or an article or main element with most of it."""
     value = [max(0, e.size - 2 * e.linked) for e in found]
     whole = value[0]
     for tag in ("article", "main"):
         own = [(v, -i) for i, (e, v) in enumerate(zip(found, value, strict=True)) if e.tag == tag and v > 0.3 * whole]
         if own:
             return found[-max(own)[1]]
-    return max((e for e, v in zip(found, value, strict=True) if v >= 0.8 * whole), key=lambda e: (e.path.count(">"), -e.number))
+    needed = main_blocks(found[0], found[0].blocks)
+    whole_ones = (e for e, v in zip(found, value, strict=True) if v >= 0.8 * whole and len(e.blocks) >= len(needed) and needed <= {n for n, _ in e.blocks})
+    return max(whole_ones, key=lambda e: (e.path.count(">"), -e.number))
 
 
 def vote(page: str) -> tuple[str, int]:
@@ -208,9 +225,14 @@ def vote(page: str) -> tuple[str, int]:
 
 
 def extract(page: str, path: str | None) -> str:
-    """The text of the containers on this path, or of the page's best one."""
+    """The text of the containers on this path if it is all of the page's main text, else of those on the page's best path."""
     found = parse(page)
-    blocks = {n: text for e in found if path is not None and e.path == path and e.size for n, text in e.blocks} or dict(best(found).blocks)
+    own = best(found).path
+    blocks = {n: text for e in found if e.path == own for n, text in e.blocks}
+    if path is not None and path != own:
+        voted = {n: text for e in found if e.path == path for n, text in e.blocks}
+        if main_blocks(found[0], list(blocks.items())) <= voted.keys():
+            blocks = voted
     return "\n".join(text for _, text in sorted(blocks.items()))
 
 
