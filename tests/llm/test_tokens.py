@@ -36,7 +36,7 @@ def test_word_tokens(texts):
 
 def test_cache_that_overflows(texts):
     w = word_tokens.WordTokens(tokenizer_file(WORD_FILE))
-    w.chunks.most = 20
+    w.chunks.room = 4000
     ids, offsets = w.encode(pa.array(texts * 2, pa.string()))
     assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(len(texts))] == [word_ids(t) for t in texts]
 
@@ -50,6 +50,28 @@ def test_piece_bpe(texts, pieces):
         assert bpe.decode(own) == pieces.decode(own)
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDabcd0123+/", "日本語は難しい", "aaab", "the"])
+def test_piece_bpe_of_100_000_code_points_without_spaces(pieces, alphabet):
+    import random
+    import time
+
+    rnd = random.Random(len(alphabet))
+    text = "".join(rnd.choice(alphabet) for _ in range(100_000))
+    bpe = piece_bpe.PieceBpe(tokenizer_file(PIECE_FILE))
+    start = time.time()
+    ids, _ = bpe.encode(pa.array([text]))
+    assert time.time() - start < 10
+    assert ids.tolist() == pieces.encode(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abeilnrst", min_size=1, max_size=300))
+def test_queue_of_pairs_gives_what_rounds_give(text):
+    bpe = piece_bpe.load(tokenizer_file(PIECE_FILE))
+    own = [x for c in text for x in bpe.symbols(c)]
+    assert bpe.merge_long(list(own)) == bpe.merge(np.array(own), np.zeros(1, np.int64))[0].tolist()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_piece_bpe_any_text(text):
@@ -127,7 +149,7 @@ def test_trie_counts_rows(make, texts):
     short = [r for r in map(tuple, got) if r[1] <= 300]
     assert sorted(short, key=repr) == sorted((e for e in expected if e[1] <= 300), key=repr)
     assert len(got) == len(rows)
-    small = trie_counts.Trie(scores, most=50)
+    small = trie_counts.Trie(scores, room=50_000)
     assert [small.count("▁" + w) for w in words[-4][:40]] == [slow_count("▁" + w, scores) for w in words[-4][:40]]
 
 
@@ -192,7 +214,8 @@ def test_op10_rows(spark, make, texts):
     rows = [(i * 3 - 40, t) for i, t in enumerate(texts)] + [(None, "null id"), (2, "again"), (2, "and again")]
     got = sstable.round_trip(spark, make(rows, KINDS), tokenizer_file(WORD_FILE)).collect()
     start, expected = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    place = dict(map(tuple, spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string").selectExpr("text", "xxhash64(text)").collect()))
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1]])):
         ids = [*word_ids(t), 2]
         expected.append((i, start, len(ids), crc(ids)))
         start += len(ids)
@@ -200,6 +223,22 @@ def test_op10_rows(spark, make, texts):
     assert sstable.round_trip(spark, make([], KINDS), tokenizer_file(WORD_FILE)).collect() == []
 
 
+def test_shards_are_read_by_as_many_tasks(spark, make, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(i if i % 3 else 7, f"text {i} " * 50) for i in range(400)]  # a third has one identifier
+    manifest = sstable.write(make(rows, KINDS).repartition(3), tokenizer_file(WORD_FILE), f"file://{tmp_path}/shards")
+    shards = sorted(map(tuple, manifest.select("shard", "path").collect()))
+    many = [(i, shards[i % len(shards)][1]) for i in range(37)]
+    got = sstable.read(spark, many)
+    assert got.rdd.getNumPartitions() == 37
+    by_task = got.select("shard", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r["task"] for r in by_task}) == len(by_task) == 37
+    read = sstable.read(spark, shards)
+    assert read.count() == 400
+    assert read.where("doc_id = 7").select("shard").distinct().count() > 1 or len(shards) == 1
+
+
 def test_shard_lookup(tmp_path):
     path, rnd = str(tmp_path / "x.sst"), np.random.default_rng(3)
     rows = {int(k): rnd.integers(0, 60000, int(rnd.integers(0, 400))) for k in sorted(set(rnd.integers(-(10**9), 10**9, 3000).tolist()))}

@@ -65,10 +65,13 @@ def spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class PieceCache:
-    """Ids of distinct strings as packed bytes. It is emptied when full, so memory is bounded; ids never change by that."""
+    """Ids of distinct strings as packed bytes. It is emptied when it holds `room` bytes, so memory is bounded; ids never change by that."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], width: int, most: int = 400_000):
-        self.encode, self.width, self.most, self.known = encode, width, most, {"": b""}
+    #: Bytes that an entry takes besides its string and ids, about.
+    ENTRY = 200
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], width: int, room: int = 100 << 20):
+        self.encode, self.width, self.room, self.known, self.held = encode, width, room, {"": b""}, 0
 
     def ids_of(self, strings: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """strings: the pieces of all rows, row i at offsets[i]:offsets[i+1]. Returns all ids and the offsets of each row's ids."""
@@ -77,13 +80,13 @@ class PieceCache:
         known = self.known
         missing = [x for x in distinct if x not in known]
         if missing:
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = distinct
-            known.update(zip(missing, self.encode(missing), strict=True))
+            found = self.encode(missing)
+            known.update(zip(missing, found, strict=True))
+            self.held += self.ENTRY * len(missing) + 4 * sum(map(len, missing)) + sum(map(len, found))
         packed = list(map(known.__getitem__, distinct))
-        if len(known) > self.most:
+        if self.held > self.room:
             known.clear()
+            self.held = 0
         flat = np.frombuffer(b"".join(packed), dtype=f"<u{self.width}")
         size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.width
         start = np.cumsum(size) - size
@@ -93,6 +96,23 @@ class PieceCache:
         return spread(flat, start[which], each), ends[offsets]
 
 
+def join_by_weight(rows: DataFrame, names: DataFrame, key: str, weight: str, spread_by: str, most: int = 4096) -> DataFrame:
+    """rows with the columns of `names`, whose rows have one key each, where the keys meet; keys are longs.
+
+    weight says how many rows hold a key. Keys with over 1/most of all rows, fewer than `most`, are broadcast; no other key can fill a
+    task, and the rows of those heavy keys are dealt by `spread_by`.
+    """
+    total = names.agg(F.sum(weight)).first()[0] or 0
+    found = F.struct(*(F.col(c) for c in names.columns if c not in (key, weight))).alias("_found")
+    heavy = names.where(F.col(weight) * most > total).select(F.col(key).alias("_heavy"), found)
+    light = names.where(F.col(weight) * most <= total).select(F.col(key).alias("_light"), found.alias("_other"))
+    met = rows.join(F.broadcast(heavy), rows[key] == F.col("_heavy"), "left")
+    met = met.withColumn("_key", F.when(F.col("_heavy").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.xxhash64(F.lit(key), spread_by)))
+    met = met.join(light, F.col("_key") == F.col("_light"), "left")
+    own = F.coalesce("_found", F.when(F.col("_heavy").isNull() & F.col(key).isNotNull(), F.col("_other")))
+    return met.withColumn("_own", own).select(*(rows[c] for c in rows.columns), "_own.*")
+
+
 def split_rows(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     """The values of a list array without nulls, and its offsets from 0."""
     offsets = lists.offsets.to_numpy().astype(np.int64)

@@ -27,10 +27,10 @@ from .common import split_rows, text_slices
 
 LONGEST, CERTAIN, SMOOTHING, PER_LANGUAGE = 4, 30, 0.5, 2000
 UNDETERMINED = "und"
-#: Distinct counts that a task holds before it hands them on.
-HELD = 400_000
-#: Unseen words whose scores a model keeps at hand.
-CACHED = 100_000
+#: Distinct words, and bytes of text that they come from, that a task holds before it hands their counts on.
+HELD, HELD_BYTES = 400_000, 32 << 20
+#: Bytes of unseen words and their scores that a model keeps at hand, about.
+CACHED = 40 << 20
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -49,6 +49,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
+        taken = 0
 
         def given() -> Iterator[pa.RecordBatch]:
             for lang, words in held.items():
@@ -68,8 +69,10 @@ def counts(docs: DataFrame) -> DataFrame:
                 words = words.to_pylist()
                 for lang, i, j in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     held.setdefault(lang, Counter()).update(filter(None, words[i:j]))
-                if sum(map(len, held.values())) > HELD:
+                taken += part.column(1).nbytes
+                if taken > HELD_BYTES or sum(map(len, held.values())) > HELD:
                     yield from given()
+                    taken = 0
         yield from given()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
@@ -94,6 +97,7 @@ class Model:
             self.index.append(index)
             self.logs.append(np.log(table / table.sum(axis=0)) if len(index) else table)
         self.cache: dict[str, np.ndarray] = {}
+        self.held = 0
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
@@ -108,14 +112,16 @@ class Model:
         at = np.array([known.get(w, -1) for w in words], dtype=np.int64)
         seen = at >= 0
         out[seen] = self.logs[0][at[seen]]
-        if len(self.cache) > CACHED:
+        if self.held > CACHED:
             self.cache.clear()
+            self.held = 0
         for i in np.flatnonzero(~seen).tolist():
             w = words[i]
             if w:
                 found = self.cache.get(w)
                 if found is None:
                     found = self.cache[w] = self.unseen(w)
+                    self.held += 250 + 4 * len(w) + found.nbytes
                 out[i] = found
         return out
 

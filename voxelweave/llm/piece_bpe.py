@@ -5,6 +5,8 @@ crosses such a cut. The distinct units that a task meets are laid out as one fla
 finds every pair's merged piece, takes each unit's best rank by a segmented minimum and merges the leftmost
 occurrences in all units at once; units without a pair left are compacted away. All occurrences of a unit's best
 pair merge in one round, unless the merged piece could at once form a pair as good or better: then only the first does.
+A unit of over LONG symbols, such as a text without spaces, would take a round for nearly each of its merges; it goes through
+a queue of its pairs by rank and place, whose merges are the same.
 
 Only models with BPE, the identity normaliser, byte fallback and the word mark before words are taken.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,6 +34,8 @@ NONE = np.int64(1) << 60
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Symbols that one set of merge rounds lays out together.
 ROUND_SYMBOLS = 1 << 20
+#: Symbols of the longest unit that rounds take.
+LONG = 512
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -67,6 +72,7 @@ class PieceBpe:
         for i in ordinary.values():
             rank[i] = order[sp.get_score(i)]
         self.rank = rank[self.made]
+        self.pair = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
         self.hasty = np.zeros(self.base, dtype=bool)  # merged pieces that could at once form a pair as good or better
         for side in (self.keys // self.base, self.keys % self.base):
             self.hasty[side[self.rank <= rank[side]]] = True
@@ -129,16 +135,37 @@ class PieceBpe:
             size = size - np.bincount(unit[at], minlength=len(live))
         return ordered(done)
 
+    def merge_long(self, sym: list[int]) -> list[int]:
+        """Symbols of one unit after all merges: the best pair first, of equal ones the leftmost."""
+        pair, base, n = self.pair, self.base, len(sym)
+        before, after = [*range(-1, n - 1)], [*range(1, n), -1]
+        queue = [(found[0], i, found[1], key) for i in range(n - 1) if (found := pair.get(key := sym[i] * base + sym[i + 1]))]
+        heapq.heapify(queue)
+        while queue:
+            _, i, made, key = heapq.heappop(queue)
+            j = after[i]
+            if j < 0 or sym[i] < 0 or sym[i] * base + sym[j] != key:
+                continue
+            sym[i], sym[j] = made, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for at in (before[i], i):
+                if at >= 0 and after[at] >= 0 and (found := pair.get(key := sym[at] * base + sym[after[at]])):
+                    heapq.heappush(queue, (found[0], at, found[1], key))
+        return [x for x in sym if x >= 0]
+
     def encode_units(self, units: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(units):
             flat, sizes = [], []
             while at < len(units) and (not sizes or len(flat) < ROUND_SYMBOLS):
-                n = len(flat)
-                for c in units[at]:
-                    flat += self.symbols(c)
-                sizes.append(len(flat) - n)
+                own = [x for c in units[at] for x in self.symbols(c)]
+                if len(own) > LONG:
+                    own = self.merge_long(own)
+                flat += own
+                sizes.append(len(own))
                 at += 1
             size = np.array(sizes, dtype=np.int64)
             full = np.flatnonzero(size)

@@ -10,8 +10,11 @@ A shard file holds, in this order:
                 u32 id width, u32 crc32 of index, Bloom bytes and the footer so far, 8 bytes MAGIC
 A key is a zero byte for a null identifier; else a one byte and the identifier, offset to be unsigned, big-endian.
 
+Shards are cut by identifier and then by a hash of the text, so that rows of one identifier spread over shards too. They are
+read back in as many tasks as there are shards.
+
 Cases: a null or empty text has its end id alone; null identifiers come first; equal identifiers keep all their
-rows, in order of text; an empty table gives no rows; other columns are ignored.
+rows, in order of their texts' hashes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -222,13 +225,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (f"{folder}/shard-{shard:06d}.sst", pa.string()), (out.entries, pa.int64()), (out.tokens, pa.int64()), (size, pa.int64()))], ["shard", "path", "docs", "tokens", "bytes"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    made = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST)
+    place = F.xxhash64("text")
+    made = rows.repartitionByRange("doc_id", place).sortWithinPartitions("doc_id", place, "text").mapInArrow(run, MANIFEST)
     made.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """One row per document of the shards: shard, doc_id, start in the shard, token count and crc32 of its ids."""
+def read(spark: SparkSession, shards: list[tuple[int, str]]) -> DataFrame:
+    """One row per document of these (shard, path): shard, doc_id, start in the shard, token count and crc32 of its ids. A task a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +250,10 @@ def read(manifest: DataFrame) -> DataFrame:
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("shard", "path").repartition("shard").mapInArrow(run, ROWS)
+    # a range of n numbers in n partitions deals one shard to each task, which neither a hash nor adaptive execution would
+    nth = spark.createDataFrame([(i, *x) for i, x in enumerate(shards)], "id long, shard int, path string")
+    tasks = spark.range(0, len(shards), 1, max(1, len(shards)))
+    return tasks.join(F.broadcast(nth), "id").select("shard", "path").mapInArrow(run, ROWS)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
@@ -254,10 +261,10 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int =
 
     Only the manifest, one row per shard, is put in one place for the running sum.
     """
-    manifest = write(docs, tokenizer, shared_folder(spark, "token-shards"), end)
-    total, before = 0, []
-    for shard, tokens in sorted(map(tuple, manifest.select("shard", "tokens").collect())):
+    total, before, shards = 0, [], []
+    for shard, path, tokens in sorted(map(tuple, write(docs, tokenizer, shared_folder(spark, "token-shards"), end).select("shard", "path", "tokens").collect())):
         before.append((shard, total))
+        shards.append((shard, path))
         total += tokens
     base = spark.createDataFrame(before, "shard int, before long")
-    return read(manifest).join(F.broadcast(base), "shard").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return read(spark, shards).join(F.broadcast(base), "shard").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -6,7 +6,7 @@ once from the nodes above it; a pre-token's count is its last node's. The model
 -ln(1 + r), as whole millionths, so sums are exact; equal scores take the fewer tokens. A character in no piece costs
 UNKNOWN and counts one token per UTF-8 byte.
 
-A task keeps its own trie and empties it when full, so no row moves and memory is bounded.
+A task keeps its own trie and empties it when it takes `room` bytes, so no row moves and memory is bounded: by that and one word's nodes.
 
 Cases: a null or empty text counts 0; a null doc_id is kept; repeated rows are counted each; an empty table gives no
 rows; other columns are ignored.
@@ -42,21 +42,25 @@ def piece_scores(model: str) -> dict[str, int]:
 class Trie:
     """Pre-tokens and their counts. Node n has best[n], a score and minus the token count, and terminal counts when asked for."""
 
-    def __init__(self, scores: dict[str, int], most: int = 1_500_000):
-        self.scores, self.longest, self.most = scores, max(map(len, scores), default=1), most
+    #: Bytes that a node takes, and an entry of the terminals besides its string, about.
+    NODE, ENTRY = 250, 150
+
+    def __init__(self, scores: dict[str, int], room: int = 400 << 20):
+        self.scores, self.longest, self.room = scores, max(map(len, scores), default=1), room
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[tuple[int, str], int] = {}
         self.best: list[tuple[int, int]] = [(0, 0)]
         self.terminal: dict[str, int] = {}
+        self.held = 0
 
     def count(self, word: str) -> int:
         """Tokens of the pre-token; makes the nodes that it adds to the trie."""
         known = self.terminal.get(word)
         if known is not None:
             return known
-        if len(self.best) > self.most:
+        if self.held + self.NODE * len(self.best) > self.room:
             self.clear()
         path, node, children = [0], 0, self.children
         for d, c in enumerate(word, 1):
@@ -67,6 +71,7 @@ class Trie:
             node = below
             path.append(node)
         self.terminal[word] = n = -self.best[node][1]
+        self.held += self.ENTRY + 4 * len(word)
         return n
 
     def forward(self, word: str, d: int, path: list[int]) -> tuple[int, int]:

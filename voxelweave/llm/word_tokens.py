@@ -40,6 +40,7 @@ class WordTokens:
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.chunks = PieceCache(self.encode_chunks, self.width)
 
     def word(self, word: str) -> bytes:
@@ -49,8 +50,9 @@ class WordTokens:
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(chunks)
         odd, words = [], self.words
-        if len(words) > self.chunks.most:
+        if self.held > self.chunks.room:
             words.clear()
+            self.held = 0
         for i, chunk in enumerate(chunks):
             if (chunk.isascii() or max(chunk) < "Ā") and "<|" not in chunk:
                 got = []
@@ -58,6 +60,7 @@ class WordTokens:
                     ids = words.get(w)
                     if ids is None:
                         ids = words[w] = self.word(w)
+                        self.held += PieceCache.ENTRY + 2 * len(w) + len(ids)
                     got.append(ids)
                 out[i] = got[0] if len(got) == 1 else b"".join(got)
             else:
