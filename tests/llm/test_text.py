@@ -19,8 +19,8 @@ DATA = "/root/testdata/sf0.001"
 def test_op2_rows(make, texts):
     rows = [(i * 5 - 300, t) for i, t in enumerate(texts)] + [(None, "no id"), (7, "b twice"), (7, "a twice")]
     got = fraction_sketch.fingerprints(make(rows, DOCS)).collect()
-    order = sorted(rows, key=lambda r: (r[1] or "").encode(), reverse=True)
-    order = sorted(order, key=lambda r: -10**9 if r[0] is None else r[0], reverse=True)
+    hashes = dict(map(tuple, make(rows, DOCS).selectExpr("coalesce(text, '')", "xxhash64(coalesce(text, ''))").collect()))
+    order = sorted(rows, key=lambda r: (-10**9 if r[0] is None else r[0], hashes[r[1] or ""]), reverse=True)
     assert len(got) == len(rows)
     found = {(r["doc_id"], r["edited_sha256"]): r for r in got}
     prints = {}
@@ -83,12 +83,36 @@ def test_op2_of_short_texts_is_exact_containment(make):
     assert got[1]["near_next"] == 1.0
 
 
-def test_next_document_across_buckets(spark):
-    ids = [*range(0, 3000, 3), *range(10**12, 10**12 + 40), -5, 2**62]
-    rows = [(i, f"text {i}") for i in ids]
-    got = fraction_sketch.with_next(spark.createDataFrame(rows, DOCS)).select("doc_id", "next.text").collect()
-    order = sorted(ids, reverse=True)
-    assert dict(map(tuple, got)) == {i: f"text {n}" for i, n in zip(order, [*order[1:], order[0]], strict=True)}
+@pytest.mark.parametrize("inner", [False, True])
+def test_next_document_of_any_ids(spark, monkeypatch, inner):
+    """Clustered, outlying, repeated and null ids: every row's next one, and no segment beyond a bound."""
+    monkeypatch.setattr(fraction_sketch, "SEGMENT", 20)
+    if inner:
+        monkeypatch.setattr(fraction_sketch, "CUTS", 8)
+    ids = [*range(0, 3000, 3), *range(10**12, 10**12 + 400), -5, -(2**62), 2**62, *[77] * 900, *[3000] * 3, *[None] * 500]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = fraction_sketch.with_next(docs).select("doc_id", "text", F.col("next.text").alias("after")).collect()
+    hashes = dict(map(tuple, docs.selectExpr("text", "xxhash64(text)").collect()))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    assert sorted(map(tuple, got), key=repr) == sorted(((*r, n[1]) for r, n in zip(order, [*order[1:], order[0]], strict=True)), key=repr)
+    dealt, segments = fraction_sketch.dealt(docs)
+    largest = dealt.groupBy("bucket", "part").count().agg(F.max("count")).first()[0]
+    assert largest <= 4 * 20
+    assert dealt.select("bucket", "part").distinct().count() == segments.count()
+
+
+def test_sketches_merge_by_union(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(0, 600))), (2, " ".join(f"w{k}" for k in range(596, 1000))), (3, " ".join(f"w{k}" for k in range(1000)))]
+    for scale in (1, 8):
+        parts = spark.createDataFrame(rows, DOCS).select("doc_id", fraction_sketch.sketch(F.col("text"), scale).alias("s"))
+        one, two, whole = (r["s"] for r in parts.orderBy("doc_id").collect())
+        assert sorted(set(one) | set(two)) == whole
+        assert parts.where("doc_id < 3").agg(fraction_sketch.merged(F.col("s")).alias("m")).first()["m"] == whole
+        pair = spark.createDataFrame([(one, two, whole)], "a array<long>, b array<long>, w array<long>")
+        union = fraction_sketch.merge(F.col("a"), F.col("b"))
+        r = pair.select(union.alias("m"), fraction_sketch.likeness(union, F.col("w")).alias("of"), fraction_sketch.likeness(F.col("a"), F.col("w")).alias("part")).first()
+        assert r["m"] == whole and r["of"] == 1.0 and r["part"] == 1.0
 
 
 # --- HTML -----------------------------------------------------------------------------------------------------------

@@ -1,13 +1,16 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions alone.
 
 A text's words are runs without ASCII white space, in lower case; a shingle is five words in a row (fewer words: all of them). A
-sketch retains every distinct shingle hash below 1/SCALE of the hash range of 63 bits: all of them at a SCALE of 1, since of a
-short text any share is too few, and a larger text's sketch has to hold what a shorter one's does. Sketches of parts merge by
-union; the share of the smaller sketch that the larger one holds is the containment, also of a note in a book.
+sketch retains every distinct shingle hash below 1/scale of the hash range of 63 bits: all of them at a scale of 1, since of a
+short text any share is too few, and a larger text's sketch has to hold what a shorter one's does. Sketches of one scale merge by
+union (`merge`, `merged`); the share of the smaller sketch that the larger one holds is the containment, also of a note in a book.
+
+The next document comes from one shuffle of texts by segments of the order, which follow the quantiles of the ids and so hold
+about as many documents each whatever the ids are. Rows at the head of a segment go to the segment before it as well.
 
 Cases: a null text is an empty one; an empty text's sketch is empty; two empty sketches are alike (1), one
 empty sketch is unlike any other (0); a null doc_id comes after all others; rows of one doc_id follow in falling order of
-text; of one row alone the next document is itself; an empty table gives no rows; other columns are ignored.
+their texts' hashes; of one row alone the next document is itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE, SCALE = 5, 1
-#: Documents of a bucket of the order by doc_id, about.
-BUCKET = 256
+#: Documents of a segment of the order by doc_id, about.
+SEGMENT = 500
+#: Quantiles that cut the order, and that cut each of its parts again if those are large; parts of one id's rows, of all.
+CUTS, INNER_CUTS, HOT_PARTS = 512, 128, 1 << 16
 
 
 def held(value: Column, use) -> Column:
@@ -25,7 +30,7 @@ def held(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sketch(text: Column) -> Column:
+def sketch(text: Column, scale: int = SCALE) -> Column:
     """The sorted retained hashes of a text."""
     words = F.array_remove(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), "")
 
@@ -36,7 +41,7 @@ def sketch(text: Column) -> Column:
 
     def retained(h: Column) -> Column:
         short = F.transform(h, lambda x: F.shiftrightunsigned(x, 1))
-        return F.sort_array(F.array_distinct(F.filter(short, lambda x: x <= ((1 << 63) // SCALE - 1))))
+        return F.sort_array(F.array_distinct(F.filter(short, lambda x: x <= ((1 << 63) // scale - 1))))
 
     hashed = F.transform(words, lambda x: F.xxhash64(x))
     return held(held(hashed, shingles), retained)
@@ -46,6 +51,16 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of two texts' shingles together, from their sketches of one scale."""
+    return F.sort_array(F.array_union(a, b))
+
+
+def merged(sketches: Column) -> Column:
+    """The sketch of a group's shingles together, as an aggregate."""
+    return F.sort_array(F.array_distinct(F.flatten(F.collect_list(sketches))))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Containment of the smaller text's sketch in the larger's."""
     least = F.least(F.size(a), F.size(b))
@@ -53,32 +68,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(least > 0, shared).otherwise(((F.size(a) == 0) & (F.size(b) == 0)).cast("double"))
 
 
-def next_bucket(rows: DataFrame) -> DataFrame:
-    """bucket and the next lower bucket in use (after the lowest: the highest). Sought among BUCKET in a row; only the few at their ends meet in one place."""
-    used = rows.select("bucket").distinct().withColumn("upper", F.floor(F.col("bucket") / BUCKET))
-    within = Window.partitionBy("upper").orderBy(F.desc("bucket"))
-    near = used.withColumn("near", F.lead("bucket").over(within))
-    heads = used.groupBy("upper").agg(F.max("bucket").alias("head"))
-    order = Window.orderBy(F.desc("upper"))
-    ends = heads.select("upper", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("far"))
-    return near.join(ends, "upper").select("bucket", F.coalesce("near", "far").alias("after"))
+def place(value: Column, cuts: Column) -> Column:
+    """Where a value lies among sorted cuts: an odd number on a cut, an even one between two."""
+    return (2 * F.size(F.filter(cuts, lambda c: c < value)) + F.array_contains(cuts, value).cast("int")).cast("long")
+
+
+def quantiles(n: int) -> Column:
+    return F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)
+
+
+def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(doc_id, text) with `bucket` and `part`, and the segments: bucket, part, own and previous number, head's id and hash.
+
+    A bucket holds the rows of one id that is a cut, or those between two cuts. One id's rows, if many, are parted by their texts' hashes.
+    """
+    cuts, n = rows.agg(quantiles(CUTS), F.count("*")).first()
+    if not n:
+        return rows.withColumns({"bucket": F.lit(0), "part": F.lit(0)}), rows.sparkSession.createDataFrame([], "bucket long, part int, own int, previous int, head long, hash long")
+    outer = sorted(set((cuts or [])[:: max(1, CUTS * SEGMENT // n)]))
+    rows = rows.withColumn("bucket", F.coalesce(place(F.col("doc_id"), F.array(*map(F.lit, outer)).cast("array<long>")), F.lit(-1)))
+    inner = min(INNER_CUTS, -(-n // (SEGMENT * CUTS)))
+    if inner > 1:
+        found = rows.where("bucket >= 0").groupBy("bucket").agg(F.array_distinct(quantiles(inner)).alias("cuts")).collect()
+        small = rows.sparkSession.createDataFrame(found, "bucket long, cuts array<long>")
+        rows = rows.join(F.broadcast(small), "bucket", "left")
+        rows = rows.withColumn("bucket", F.col("bucket") * (2 * INNER_CUTS) + F.coalesce(place(F.col("doc_id"), F.col("cuts")), F.lit(0))).drop("cuts")
+    found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()
+    hot = {r["bucket"]: min(-(-r["n"] // SEGMENT), -(-r["n"] * HOT_PARTS // n)) for r in found if r["low"] == r["high"] and r["n"] > 4 * SEGMENT}
+    heads = [(r["bucket"], 0, r["high"], None) for r in found if r["bucket"] not in hot]
+    rows = rows.withColumn("part", F.lit(0))
+    if hot:
+        small = rows.sparkSession.createDataFrame(list(hot.items()), "bucket long, parts int")
+        share = F.xxhash64("text") / F.lit(2.0**64) + 0.5
+        rows = rows.join(F.broadcast(small), "bucket", "left").withColumn("part", F.coalesce(F.least(F.floor(share * F.col("parts")), F.col("parts") - 1), F.lit(0)).cast("int"))
+        heads += map(tuple, rows.where("parts is not null").groupBy("bucket", "part").agg(F.max("doc_id"), F.max(F.xxhash64("text"))).collect())
+    heads.sort(key=lambda x: x[:2], reverse=True)
+    segments = [(bucket, part, i, (i or len(heads)) - 1, head, hashed) for i, (bucket, part, head, hashed) in enumerate(heads)]
+    return rows, rows.sparkSession.createDataFrame(segments, "bucket long, part int, own int, previous int, head long, hash long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, own sketch, and the text and sketch of the next document in falling order of doc_id.
 
-    Texts are shuffled once, by bucket of that order, and sketched after that; only one row of each bucket moves again.
+    Texts are shuffled once, by segment of that order, and sketched after that.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * BUCKET // max(1, n))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20)") - F.lit(low or 0).cast("decimal(20)")) / width).cast("long"), F.lit(-1))
-    rows = docs.withColumn("bucket", bucket)
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    dealt = rows.withColumn("following", F.lead("text").over(order))
-    heads = rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(F.col("bucket").alias("after"), F.col("text").alias("head"))
-    ends = next_bucket(rows).join(heads, "after").select("bucket", "head")
-    found = dealt.join(ends, "bucket", "left").select("doc_id", "text", F.coalesce("following", "head").alias("following"))
+    rows, segments = dealt(docs)
+    at_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash").isNull() | (F.col("hash") == F.xxhash64("text")))
+    own = F.array(F.struct(F.col("own").alias("segment"), F.lit(0).alias("visits")))
+    both = F.array(F.struct(F.col("own").alias("segment"), F.lit(0).alias("visits")), F.struct(F.col("previous").alias("segment"), F.lit(1).alias("visits")))
+    # segments are at most some 10 per thousand documents, and in all some 2 * CUTS * INNER_CUTS + HOT_PARTS
+    met = rows.join(F.broadcast(segments), ["bucket", "part"]).select("doc_id", "text", F.explode(F.when(at_head, both).otherwise(own)).alias("in"))
+    order = Window.partitionBy("segment").orderBy("visits", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), F.desc("text"))
+    found = met.select("doc_id", "text", "in.*").withColumn("following", F.lead("text").over(order)).where("visits = 0")
     return found.select("doc_id", "text", sketch(F.col("text")).alias("sketch"), F.struct(F.col("following").alias("text"), sketch(F.col("following")).alias("sketch")).alias("next"))
 
 
