@@ -1,8 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions alone.
 
 A text's words are runs without ASCII white space, in lower case; a shingle is five words in a row (fewer words: all of them). A
-sketch retains every distinct shingle hash below 1/scale of the hash range of 63 bits: all of them at a scale of 1, since of a
-short text any share is too few, and a larger text's sketch has to hold what a shorter one's does. Sketches of one scale merge by
+sketch retains every distinct shingle hash below 1/scale of the range of hashes: all of them at a scale of 1, since of a
+short text any share is too few, and a larger text's sketch has to hold what a shorter one's does. Of a retained hash the first
+32 bits are stored. Sketches of one scale merge by
 union (`merge`, `merged`); the share of the smaller sketch that the larger one holds is the containment, also of a note in a book.
 
 The next document comes from one shuffle of texts by segments of the order, which follow the quantiles of the ids and so hold
@@ -40,15 +41,15 @@ def sketch(text: Column, scale: int = SCALE) -> Column:
         return F.when(F.size(w) < SHINGLE, whole).otherwise(runs)
 
     def retained(h: Column) -> Column:
-        short = F.transform(h, lambda x: F.shiftrightunsigned(x, 1))
-        return F.sort_array(F.array_distinct(F.filter(short, lambda x: x <= ((1 << 63) // scale - 1))))
+        kept = h if scale == 1 else F.filter(h, lambda x: F.shiftrightunsigned(x, 1) < (1 << 63) // scale)
+        return F.sort_array(F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, 32).cast("int"))))
 
     hashed = F.transform(words, lambda x: F.xxhash64(x))
     return held(held(hashed, shingles), retained)
 
 
 def as_text(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -120,8 +121,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     # segments are at most some 10 per thousand documents, and in all some 2 * CUTS * INNER_CUTS + HOT_PARTS
     met = rows.join(F.broadcast(segments), ["bucket", "part"]).select("doc_id", "text", F.explode(F.when(at_head, both).otherwise(own)).alias("in"))
     order = Window.partitionBy("segment").orderBy("visits", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), F.desc("text"))
-    found = met.select("doc_id", "text", "in.*").withColumn("following", F.lead("text").over(order)).where("visits = 0")
-    return found.select("doc_id", "text", sketch(F.col("text")).alias("sketch"), F.struct(F.col("following").alias("text"), sketch(F.col("following")).alias("sketch")).alias("next"))
+    # the window takes the partitions as they are, so sketches are made once and after the shuffle
+    placed = met.select("doc_id", "text", "in.*").repartition("segment").withColumn("sketch", sketch(F.col("text")))
+    found = placed.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)}).where("visits = 0")
+    return found.select("doc_id", "text", "sketch", F.struct(F.col("next_text").alias("text"), F.col("next_sketch").alias("sketch")).alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
