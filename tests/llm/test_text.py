@@ -136,6 +136,16 @@ CASES = [
     ('<article class="post comments-open"><p>text</p><figure><img><figcaption>seen</figcaption></figure></article><article class="comment"><p>c</p></article>', "text\nseen"),
     ('<div class="address-padding"><p>an address</p></div>', "an address"),
     ("<<>>< p>", "<<>>< p>"),
+    ('<div class="share-price-report"><p>prose</p></div><div class="product-notice-board"><p>more</p></div>', "prose\nmore"),
+    ('<div><p>text</p><div class="cookie-notice">c</div><div class="site-footer">f</div><ul class="main-nav"><li>n</ul></div>', "text"),
+    ("<p>one <span hidden>x</p><p>two</p><p>three</p>", "one\ntwo\nthree"),
+    ("<p>one <span hidden>a <span>b</span> z</span> end</p>", "one end"),
+    ("<p>a <svg>x</p><p>b</p>", "a x\nb"),
+    ("<p>a <svg><g><svg>i</svg>j</g></svg>k</p><object>o<object>p</object>q</object><p>b</p>", "a k\nb"),
+    ("<div><p>INTRO and more of it</p><div class=main><p>" + "long " * 100 + "</p></div></div>", "INTRO and more of it\n" + ("long " * 100).strip()),
+    ("<article><p>" + "first " * 40 + "</p></article><div><p>" + "second " * 60 + "</p></div>", ("first " * 40).strip() + "\n" + ("second " * 60).strip()),
+    ("<article><p>" + "first " * 40 + "</p></article><div><p>and a little beside it</p></div>", ("first " * 40).strip()),
+    ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><dl><dt>e<dd>f<dt>g</dl>", "a\nb\nc\nd\ne\nf\ng"),
 ]
 
 
@@ -152,8 +162,8 @@ def test_op5_rows(make):
     rows += [(9, None, "<p>x</p>"), (10, "no url", None), (11, "https://b/", ""), (None, "https://b/", "<p>y</p>"), (9, None, "<p>x</p>"), (12, "https://c/", "<p>" + "z " * 300_000)]
     got = html_text.main_text(make(rows, PAGES))
     found = sorted(map(tuple, got.collect()), key=repr)
-    salted = sorted(map(tuple, html_text.main_text(make(rows, PAGES), broadcast_hosts=0, salts=3).collect()), key=repr)
-    assert found == salted
+    joined = sorted(map(tuple, html_text.main_text(make(rows, PAGES), broadcast_hosts=2).collect()), key=repr)
+    assert found == joined
     assert (8, "https://A.example/8", "short", 5) in found
     assert [r[2:] for r in found if r[0] == 9] == [("x", 1)] * 2
     assert {r[2] for r in found if r[0] in (10, 11)} == {""} and (None, "https://b/", "y", 1) in found
@@ -173,6 +183,70 @@ def test_op5_keeps_all_main_text(make):
     assert got[5] == "\n".join([note.strip(), lead.strip(), body.strip()])
 
 
+def plain_extract(page, path=None):
+    """The best path's and the voted path's text by whole sets of blocks, from the parsed containers."""
+    p = html_text.parse(page)
+    blocks = {id(e): set(range(e.first, e.last)) for e in p.found}
+    value = {id(e): sum(len(p.texts[i]) - 2 * min(p.linked[i], len(p.texts[i])) for i in blocks[id(e)]) for e in p.found}
+    main = {i for i in range(len(p.texts)) if not p.asides[i]} or set(range(len(p.texts)))
+    chosen = None
+    for tag in ("article", "main"):
+        own = [e for e in p.found if e.tag == tag]
+        top = max((value[id(e)] for e in own), default=0)
+        if chosen is None and 2 * top > value[id(p.found[0])]:
+            chosen = next(e for e in own if value[id(e)] == top)
+    if chosen is None:
+        whole = [e for e in p.found if main <= blocks[id(e)]]
+        chosen = next(e for e in whole if all(e.depth >= f.depth for f in whole))
+
+    def on(key):
+        return set().union(*(blocks[id(e)] for e in p.found if e.path == key))
+
+    got = on(chosen.path)
+    if path is not None and ({i for i in got if not p.asides[i]} or got) <= on(path):
+        got = on(path)
+    return chosen.path, sum(len(p.texts[i]) for i in blocks[id(chosen)]), "\n".join(p.texts[i] for i in sorted(got))
+
+
+def test_op5_against_brute_force_votes(make):
+    import random
+    from collections import defaultdict
+
+    rnd = random.Random(20)
+    kinds = ['<div class="story-%d">%s</div>', "<article>%.0s%s</article>", '<main class="m">%.0s%s</main>', '<section><div class="teaser">%.0s%s</div></section>', "<div>%.0s<div>%s</div></div>", '<div class="text">%.0s%s', "<nav>%.0s%s</nav>", '<ul>%.0s<li>%s<li><a href="x">some link</a></ul>']
+    rows = []
+    for i in range(160):
+        parts = [rnd.choice(kinds) % (rnd.randrange(99), "".join(f"<p>{'word ' * rnd.randrange(1, 40)}{k}</p>" for k in range(rnd.randrange(1, 4)))) for _ in range(rnd.randrange(1, 5))]
+        rows.append((i, f"https://{rnd.choice('abc')}/{i}", "<body>" + "".join(parts)))
+    votes = defaultdict(lambda: [0, 0])
+    for _, url, page in rows:
+        path, size, _ = plain_extract(page)
+        if size:
+            votes[url[8], path][0] += 1
+            votes[url[8], path][1] += size
+    winner = {h: max((n, size, path) for (x, path), (n, size) in votes.items() if x == h)[2] for h in "abc"}
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(make(rows, PAGES)).collect()}
+    assert got == {i: plain_extract(page, winner[url[8]])[2] for i, url, page in rows}
+    assert any(plain_extract(page)[2] != got[i] for i, _, page in rows)
+
+
+def test_op5_takes_deep_and_unclosed_pages_in_linear_time():
+    import time
+
+    for n, page in (
+        (10_000, "".join(f"<div>t{i}" for i in range(10_000))),
+        (10_000, "<ul><li>x" * 10_000),
+        (10_000, "<p>a<svg>" * 10_000),
+        (10_000, "<p><b><span hidden>" * 10_000),
+        (10_000, "<div>" + "<x>" * 10_000 + "<p>q</p></y>" * 10_000),
+    ):
+        start = time.time()
+        html_text.extract(page, None)
+        assert time.time() - start < 1, page[:30]
+    deep = html_text.extract("".join(f"<div>t{i}" for i in range(10_000)), None)
+    assert deep.split("\n") == [f"t{i}" for i in range(10_000)]
+
+
 def test_op5_on_the_pages(spark):
     rows = html_text.main_text(table(spark, DATA, "pages")).collect()
     pages = {r["page_id"]: r["html"] for r in table(spark, DATA, "pages").collect()}
