@@ -145,26 +145,59 @@ def test_op6_repeats_and_nulls(make):
     assert embedding_dedup.near_duplicates(make([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
-def test_binary_codes_bound_and_estimate():
+def made_codes(v, bits=16, tables=20, cosine=0.98):
+    sign, factor, level, step, error = embedding_dedup.stored(v, max(v.shape[1], bits * tables))
+    return embedding_dedup.Codes(sign, factor, level, step, error, v.shape[1], bits, tables, cosine)
+
+
+@pytest.mark.parametrize("dim", [32, 33, 64])
+def test_binary_codes_bound_and_estimate(dim):
     rng = np.random.default_rng(6)
-    u = rng.standard_normal((300, 32))
-    v = u + 0.15 * rng.standard_normal((300, 32))
+    u = rng.standard_normal((300, dim))
+    v = u + 0.15 * rng.standard_normal((300, dim))
     u, v = (x / np.linalg.norm(x, axis=1)[:, None] for x in (u, v))
+    codes, n = made_codes(np.concatenate((u, v))), np.arange(300)
     close = np.einsum("ij,ij->i", u, v) >= 0.98
-    pairs = set(zip(*embedding_dedup.linked(u, v), strict=True))
-    assert {(i, i) for i in np.flatnonzero(close)} <= pairs
+    assert 20 < close.sum() < 300
+    may = codes.undecided(n, n + 300)
+    assert may[n, n][close].all() and may.sum() < 0.02 * may.size + 300
+    assert (codes.undecided_pairs(n, n + 300) == may[n, n]).all()
+    # the estimate from the stored signs, factor and steps is unbiased over rotations
     a, b, estimates = u[0], v[1], []
     for seed in range(400):
-        turn = embedding_dedup.rotations(32, 1, seed)
-        s = np.where(turn @ a > 0, 1, -1) / np.sqrt(32)
+        turn = embedding_dedup.rotations(dim, 1, seed)
+        s = np.where(turn @ a > 0, 1, -1) / np.sqrt(dim)
         estimates.append(s @ (turn @ b) / (s @ (turn @ a)))
     assert abs(np.mean(estimates) - a @ b) < 0.03
-    bits, tables = embedding_dedup.plan_tables(10**6)
-    assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= embedding_dedup.MISS
-
-
-def test_keys_are_spread(spark):
-    assert spark.range(10).select(F.pmod(F.xxhash64("id"), F.lit(7))).distinct().count() > 1
+    # and what the stored steps leave out is within the stored error
+    exact = v @ embedding_dedup.rotations(dim, 1)[:dim].T
+    assert (np.linalg.norm(codes.steps[300:] - exact, axis=1) <= codes.error[300:] + 1e-6).all()
+    for rows in (100, 10**6, 10**10):
+        bits, tables = embedding_dedup.plan_tables(rows)
+        assert bits < 63 and (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= embedding_dedup.MISS
+
+
+@pytest.mark.parametrize(("label", "values"), [("string", ["a", "b"]), ("long", [2**40, 2**40 + 2**32]), ("double", [0.5, 1.5]), ("boolean", [True, False])])
+def test_op6_labels_of_any_type(make, label, values):
+    rows = [(1, [1.0, 0.0], values[0]), (2, [1.0, 0.01], values[0]), (3, [1.0, 0.0], values[1]), (4, [1.0, 0.0], None)]
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(make(rows, f"vec_id long, embedding array<double>, label {label}")).collect()))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
+def test_op6_recall_on_pairs_at_the_threshold(spark):
+    """Pairs of a cosine from 0.98 on, the hardest to meet, among vectors that are near to many."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 32))
+    u = centres[rng.integers(0, 40, 1200)] + 0.8 * rng.standard_normal((1200, 32))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w = rng.standard_normal((1200, 32))
+    w -= np.einsum("ij,ij->i", w, u)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    t = rng.uniform(0.9801, 0.982, 1200)[:, None]
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(np.concatenate((u, t * u + np.sqrt(1 - t * t) * w)))]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([r[1] for r in rows])
+    assert [got[i] for i in range(2400)] == ((x @ x.T >= 0.98).sum(1) - 1).tolist()
 
 
 def test_op6_sql(spark):

@@ -98,7 +98,7 @@ class PieceCache:
 
 
 def join_by_weight(rows: DataFrame, names: DataFrame, key: str, weight: str, spread_by: str, most: int = 4096) -> DataFrame:
-    """rows with the columns of `names`, whose rows have one key each, where the keys meet; keys are longs.
+    """rows with the columns of `names`, whose rows have one key each, where the keys meet; keys are longs or strings.
 
     weight says how many rows hold a key. Keys with over 1/most of all rows, fewer than `most`, are broadcast; no other key can fill a
     task, and the rows of those heavy keys are dealt by `spread_by`.
@@ -108,7 +108,8 @@ def join_by_weight(rows: DataFrame, names: DataFrame, key: str, weight: str, spr
     heavy = names.where(F.col(weight) * most > total).select(F.col(key).alias("_heavy"), found)
     light = names.where(F.col(weight) * most <= total).select(F.col(key).alias("_light"), found.alias("_other"))
     met = rows.join(F.broadcast(heavy), rows[key] == F.col("_heavy"), "left")
-    met = met.withColumn("_key", F.when(F.col("_heavy").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.xxhash64(F.lit(key), spread_by)))
+    elsewhere = F.xxhash64(F.lit(key), spread_by).cast(rows.schema[key].dataType)
+    met = met.withColumn("_key", F.when(F.col("_heavy").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(elsewhere))
     met = met.join(light, F.col("_key") == F.col("_light"), "left")
     own = F.coalesce("_found", F.when(F.col("_heavy").isNull() & F.col(key).isNotNull(), F.col("_other")))
     return met.withColumn("_own", own).select(*(rows[c] for c in rows.columns), "_own.*")
