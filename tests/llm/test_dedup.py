@@ -86,14 +86,31 @@ def test_op1_rows(make, roots):
     got = simhash.classes(make(rows, DOCS)).collect()
     prints = [plain_print(t) for _, t in rows[:-1]]
     ids = [i for i, _ in rows[:-1]]
-    comp = roots(len(prints), near_links(prints))
+    comp = roots(len(ids), near_links(prints) + [(i, j) for i in range(len(ids)) for j in range(i) if ids[i] == ids[j]])
     least = {c: min(i for i, k in zip(ids, comp, strict=True) if k == c) for c in set(comp)}
     expected = [(i, p - (1 << 64) * (p >> 63), least[c]) for i, p, c in zip(ids, prints, comp, strict=True)]
     p = plain_print("one")
     assert sorted(map(tuple, got), key=repr) == sorted([*expected, (None, p - (1 << 64) * (p >> 63), None)], key=repr)
+    assert len({r["component_id"] for r in got if r["doc_id"] == 94}) == 1
     assert simhash.classes(make([], DOCS)).collect() == []
-    kept = [r["doc_id"] for r in simhash.keep_one(make(rows, DOCS)).collect()]
-    assert sorted(kept, key=repr) == sorted([*set(least.values()), None], key=repr)
+
+
+def test_soft_keys_meet_from_a_similarity_of_four_fifths():
+    rng = np.random.default_rng(11)
+    missed = {}
+    for n in (5, 9, 45, 400):
+        shared = 4 * n // 5 if n == 5 else round(2 * n * 0.8 / 1.8)
+        assert shared / (2 * n - shared) >= 0.66
+        one, two = [], []
+        for _ in range(400):
+            both = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            one.append(simhash.votes(both[:n]))
+            two.append(simhash.votes(np.concatenate((both[:shared], both[n : n + (0 if n == 5 else n - shared)]))))
+        a, b = simhash.soft_keys(np.array(one)), simhash.soft_keys(np.array(two))
+        missed[n] = sum(not set(x.tolist()) & set(y.tolist()) for x, y in zip(a, b, strict=True))
+        assert len(set(a[0].tolist())) == simhash.TABLES * simhash.PLACES
+        assert (simhash.soft_keys(np.array(one)[:3]) == a[:3]).all()
+    assert max(missed.values()) <= 4, missed
 
 
 def test_components_of_chains_and_stars(spark, roots):

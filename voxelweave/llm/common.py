@@ -65,6 +65,24 @@ def spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[shift + np.arange(total)]
 
 
+def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers in order of key, and where in that order each key's run starts and how long it is."""
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if len(key) else np.zeros(0, np.int64)
+    return order, starts, np.diff(np.append(starts, len(key)))
+
+
+def pairs_in_runs(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 32, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of runs of at most `most`, those of `step` rows at a time."""
+    left = np.repeat(np.where(sizes <= most, sizes, 0), sizes)
+    after = np.maximum(0, left - 1 - (np.arange(len(order)) - np.repeat(starts, sizes)))
+    for at in range(0, len(order), step):
+        n = after[at : at + step]
+        i = np.repeat(np.arange(at, at + len(n)), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        yield order[i], order[j]
+
+
 class PieceCache:
     """Ids of distinct strings as packed bytes. It is emptied when it holds `room` bytes, so memory is bounded; ids never change by that."""
 

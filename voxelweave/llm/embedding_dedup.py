@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_by_weight, materialise
+from .common import join_by_weight, materialise, pairs_in_runs, runs_of
 from .components import components
 
 COSINE, MISS, SEED = 0.98, 1e-5, 7
@@ -113,9 +113,7 @@ def met(codes: Codes, key: np.ndarray, side: np.ndarray | None, exact=None) -> I
         whole = [(np.flatnonzero(side == 0), np.flatnonzero(side == 1), False)]
         order, sizes, starts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     else:
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
-        sizes = np.diff(np.append(starts, len(key)))
+        order, starts, sizes = runs_of(key)
         whole = [(order[s : s + n], order[s : s + n], True) for s, n in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True)]
     for x, y, own in whole:
         for at in range(0, len(x), STRIP):
@@ -127,13 +125,7 @@ def met(codes: Codes, key: np.ndarray, side: np.ndarray | None, exact=None) -> I
                 maybe &= exact(rows, cols)
             i, j = np.nonzero(maybe)
             yield rows[i], cols[j]
-    left = np.repeat(np.where(sizes <= 32, sizes, 0), sizes)
-    after = np.maximum(0, left - 1 - (np.arange(len(order)) - np.repeat(starts, sizes)))
-    for at in range(0, len(order), 1024):
-        n = after[at : at + 1024]
-        i = np.repeat(np.arange(at, at + len(n)), n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        i, j = order[i], order[j]
+    for i, j in pairs_in_runs(order, starts, sizes):
         maybe = codes.undecided_pairs(i, j)
         i, j = i[maybe], j[maybe]
         if exact is not None and len(i):

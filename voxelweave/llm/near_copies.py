@@ -1,12 +1,17 @@
-"""Near-copies of documents: Jaccard similarity of five-word shingles of at least 0.8.
+"""Near-copies of documents by SimHash and Golay keys: five-word shingles, Jaccard similarity of at least 0.8.
 
-A text's words are as in `simhash`, its shingles five words in a row (fewer words: all of them). Candidates share a band of
-ROWS minimum hashes; a pair at exactly the threshold is missed with a probability of (1 - 0.8^ROWS)^BANDS, 0.000003. The
-candidates of a band are verified on their whole shingle sets, so no other pair is linked. A walk over those of one band that
-aren't reached yet finds its components without making pairs; of bands with the same candidates one is walked. Where sets
-have over VOLUME shingles, they are cut into blocks and each two blocks are walked together.
+A text's words are as in `simhash`, its shingles five words in a row (fewer words: all of them). Texts of a similarity of 0.8 differ
+in some 15 of 100 bits of a SimHash, more than the pigeonhole of `simhash.links` bears. So a text has simhash.TABLES fingerprints of two
+segments of 23 bits, and of each the keys are the pairs of Golay codewords that its votes are for most (`simhash.soft_keys`). A pair at
+exactly the threshold shares no key with a probability of some 0.0007, closer ones far less (tests measure it).
 
-Cases: texts without words are alike; a row without doc_id stays; of a component the row of the least doc_id stays (if it has
+Texts that share a key are candidates. Their fingerprints are compared first, in the keys' groups: a pair of over BITS
+different bits isn't near. Then whole shingle sets decide, so no other pair is linked, in two steps. Each text is verified against the least
+one that it is near to in any group; that joins most of a crowd at the price of one pair a text. What is still in different
+components in some group, and near there, is walked: a walk over those that aren't reached yet finds their components without making pairs.
+Where sets have over VOLUME shingles, they are cut into blocks and each two blocks are walked together.
+
+Cases: texts without words are unlike any other; a row without doc_id stays; of a component the row of the least doc_id stays (if it has
 several texts there, the one of the least text hash); rows of one doc_id whose texts aren't alike each stay; an empty table gives no rows.
 """
 
@@ -20,22 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spread, text_slices
+from .common import materialise, pairs_in_runs, runs_of, spread, text_slices
 from .components import components
+from .simhash import TABLES, mixed, soft_keys, votes
 
 SHINGLE, SEED = 5, 42
 #: Least similarity, as a fraction.
 SHARED, OF = 4, 5
-BANDS, ROWS = 24, 4
-#: Shingles of the candidates that are walked together, about.
-VOLUME = 1 << 21
-PRIME = np.uint64(0x9E3779B185EBCA87)
-TURNS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(29)) * PRIME
-    return x ^ x >> np.uint64(32)
+#: Most bits of a fingerprint in which near ones differ: of 276, where 42 or 52 (sets of a few shingles) are to be expected and 138 by chance.
+BITS = 92
+#: Shingles of the candidates that are walked together, about; candidates of a block of a large group, and of small groups that are compared in one go.
+VOLUME, BLOCK, TOGETHER = 1 << 21, 4096, 1 << 15
+WORDS = -(-46 * TABLES // 64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -52,20 +53,6 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The band keys of a set of shingles; none of an empty one."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), 2048):
-        x = (hashes[at : at + 2048, None] ^ TURNS[0]) * TURNS[1]
-        least = np.minimum(least, (x ^ x >> np.uint64(32)).min(0))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(ROWS, BANDS):
-        key = mixed(key) + row
-    return mixed(key).view(np.int64)
-
-
 def node(hashes: np.ndarray) -> int:
     """One name for texts of the same shingles."""
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
@@ -79,14 +66,21 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node, size and bands of every document."""
+    """doc_id, text_key, node, size, fingerprint and keys of every document; no keys without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in parts(batches):
-            keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), keys], ["doc_id", "text_key", "node", "size", "bands"])
+            full = [x for x in sets if len(x)]
+            each = np.array([votes(x) for x in full]).reshape(len(full), TABLES, 46)
+            bits = np.zeros((len(full), 64 * WORDS), np.uint8)
+            bits[:, : 46 * TABLES] = each.reshape(len(full), -1) > 0
+            prints = iter(np.packbits(bits, axis=1, bitorder="little"))
+            keys = iter(soft_keys(each) if full else ())
+            of = [(next(prints).tobytes(), next(keys)) if len(x) else (b"", np.zeros(0, np.int32)) for x in sets]
+            columns = pa.array([node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([p for p, _ in of], pa.binary()), pa.array([k for _, k in of], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "text_key", "node", "size", "print", "keys"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, node long, size long, bands array<long>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, node long, size long, print binary, keys array<int>")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -94,11 +88,55 @@ def whole_sets(docs: DataFrame) -> DataFrame:
         for _, sets in parts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
-
-
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between sets that are alike, enough of them to join all that any chain of such links joins."""
+    return docs.select("text").mapInArrow(run, "node long, hashes binary")
+
+
+def near_pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of one key and different components whose fingerprints are near; of two blocks if there are two."""
+    prints = np.frombuffer(b"".join(group.column("print").to_pylist()), "<u8").reshape(-1, WORDS)
+    key, comp, side = (group.column(c).to_numpy() for c in ("key", "component", "side"))
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (comp[x] != comp[y]) & (np.bitwise_count(prints[x] ^ prints[y]).sum(axis=-1, dtype=np.int64) <= BITS)
+
+    if side.any():
+        large, order, starts, sizes = [(np.flatnonzero(side == 0), np.flatnonzero(side == 1))], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    else:
+        order, starts, sizes = runs_of(key)
+        large = [(order[s : s + n],) * 2 for s, n in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True)]
+    for i, j in pairs_in_runs(order, starts, sizes):
+        hit = near(i, j)
+        yield i[hit], j[hit]
+    for x, y in large:
+        if x is y:  # all but the largest component's, each against the others
+            names, n = np.unique(comp[x], return_counts=True)
+            x = x[comp[x] != names[n.argmax()]]
+        for i in x.tolist():
+            j = y[near(np.array([i]), y)]
+            yield np.full(len(j), i), j
+
+
+def hubs(group: pa.Table) -> pa.Table:
+    """Each row's least near partner of a smaller node in its key's group."""
+    nodes = group.column("node").to_numpy()
+    least: dict[int, int] = {}
+    for i, j in near_pairs(group):
+        for a, b in zip(np.maximum(nodes[i], nodes[j]).tolist(), np.minimum(nodes[i], nodes[j]).tolist(), strict=True):
+            if b < least.get(a, a):
+                least[a] = b
+    return pa.table({"a": pa.array(least.keys(), pa.int64()), "b": pa.array(least.values(), pa.int64())})
+
+
+def apart(group: pa.Table) -> pa.Table:
+    """The rows that are near to one of another component."""
+    some = np.zeros(len(group), bool)
+    for i, j in near_pairs(group):
+        some[i] = some[j] = True
+    return group.select(["key", "node"]).filter(pa.array(some))
+
+
+def forest(sets: list[np.ndarray], comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links between sets that are alike, enough of them to join all that any chain of such links joins. Sets of one component are joined already."""
     size = np.array([len(x) for x in sets], np.int64)
     distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.cumsum(size) - size
@@ -109,6 +147,10 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         if not queue:
             queue, left, changed = [int(left[0])], left[1:], True
         x = queue.pop()
+        same = comp[left] == comp[x]
+        if same.any():
+            queue += left[same].tolist()
+            left, changed = left[~same], True
         if not len(left):
             break
         if changed:
@@ -128,33 +170,78 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def walk(group: pa.Table) -> pa.Table:
     nodes = group.column("node").to_pylist()
-    found = forest([np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()])
+    found = forest([np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()], group.column("component").to_numpy())
     return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[i] for _, i in found], pa.int64())})
 
 
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b whose shingle sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = ([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in (2, 3))
+            good = [len(np.intersect1d(x, y, assume_unique=True)) * (SHARED + OF) >= SHARED * (len(x) + len(y)) for x, y in zip(one, two, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("one"))
+    second = sets.select(F.col("node").alias("b"), F.col("hashes").alias("two"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+
+
+def only(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1 << 18) -> DataFrame:
+    """The documents of these doc_id and text_key, which are broadcast if they are few."""
+    ids = materialise(ids.select("doc_id", "text_key"), "needed-texts")
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, ["doc_id", "text_key"], "left_semi")
+
+
+def dealt(members: DataFrame, blocks) -> DataFrame:
+    """Members once for each two blocks of their group that they are in: blocks one and two, and their side of them."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("one"), F.greatest(k, F.col("own")).alias("two"), (k < F.col("own")).cast("int").alias("side")))
+    return members.withColumn("blocks", blocks.cast("int")).withColumn("own", own).select("*", F.explode(meets).alias("meet")).select("*", "meet.*").drop("meet", "own")
+
+
+def in_groups(members: DataFrame, total: int):
+    small = F.pmod(F.xxhash64("key"), F.lit(max(1, total // TOGETHER)))
+    rows = dealt(members, F.ceil(F.col("n") / BLOCK)).withColumn("group", F.when(F.col("blocks") == 1, small).otherwise(F.col("key").cast("long")))
+    return rows.select("key", "node", "component", "print", "side", "group", "one", "two", (F.col("blocks") == 1).alias("whole")).groupBy("whole", "group", "one", "two")
+
+
 def links(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Links a, b between nodes."""
-    distinct = names.groupBy("node").agg(F.min_by(F.struct("doc_id", "text_key", "size", "bands"), F.struct("doc_id", "text_key")).alias("of")).select("node", "of.*")
-    keyed = distinct.select("node", "size", F.explode("bands").alias("key"))
-    same = [F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two")]
-    shared = keyed.groupBy("key").agg(*same, F.sum("size").alias("volume")).where("n > 1")
-    walked = shared.groupBy("n", "low", "high", "one", "two", "volume").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("volume") / VOLUME).cast("int").alias("blocks"))
-    members = materialise(keyed.join(walked, "key").select("key", "node", "blocks"), "band-members")
-    need = distinct.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "text_key")
-    sets = whole_sets(docs.join(need, ["doc_id", "text_key"], "left_semi"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1)))
-    dealt = members.withColumn("own", own).withColumn("other", other).select("key", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(walk, "a long, b long").distinct()
+    distinct = names.where("size > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "text_key", "size", "print", "keys"), F.struct("doc_id", "text_key")).alias("of")).select("node", "of.*")
+    distinct = materialise(distinct, "distinct-texts")
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(keyed.join(shared, "key"), "key-members")
+    total = members.count()
+    prints = distinct.select("node", "print")
+    least = in_groups(members.join(prints, "node").withColumn("component", F.col("node")), total).applyInArrow(hubs, "a long, b long")
+    pairs = materialise(least.groupBy("a").agg(F.min("b").alias("b")), "near-hubs")
+    # whole sets of what is near to anything
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = distinct.join(need, "node", "left_semi").select("doc_id", "text_key")
+    sets = materialise(whole_sets(only(docs, sets)).dropDuplicates(["node"]), "shingle-sets")
+    first = materialise(verified(pairs, sets), "hub-links")
+    joined = components(first)
+    placed = members.join(prints, "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = materialise(in_groups(placed, total).applyInArrow(apart, "key int, node long").distinct(), "members-apart")
+    found = distinct.join(left.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "size").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = materialise(whole_sets(only(docs, found)).dropDuplicates(["node"]), "sets-apart")
+    walked = left.join(found.select("node", "size", "component"), "node")
+    volume = walked.groupBy("key").agg(F.ceil(F.sum("size") / VOLUME).alias("blocks"))
+    walked = walked.join(volume, "key")
+    rows = dealt(walked, F.col("blocks")).join(more, "node").select("key", "node", "component", "hashes", "one", "two")
+    return first.union(rows.groupBy("key", "one", "two").applyInArrow(walk, "a long, b long")).distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-copies of a smaller doc_id; repeated rows go too, rows without doc_id stay."""
     rows = docs.withColumn("text_key", F.xxhash64("text"))
     told = rows.where("doc_id is not null")
-    names = materialise(named(told.withColumn("doc_id", F.col("doc_id").cast("long"))), "shingle-bands")
+    names = materialise(named(told.withColumn("doc_id", F.col("doc_id").cast("long"))), "fingerprints")
     joined = components(links(told, names))
-    classes = names.join(joined, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
-    kept = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("of")).select("of.*").distinct()
+    least = names.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("of")).join(joined, "node", "left")
+    kept = least.groupBy(F.coalesce("component", "node")).agg(F.min("of").alias("of")).select("of.*").distinct()
     one = told.join(kept, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
     return one.select(docs.columns).union(docs.where("doc_id is null"))

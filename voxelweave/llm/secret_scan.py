@@ -3,10 +3,11 @@
 From each rule's regular expression a Boolean query over trigrams of lower-case text is derived: what any match must hold.
 The index posts, for each block of documents, the documents that hold each trigram some query names. A rule's
 postings are intersected and united as its query says; only those documents are matched against the rule. A rule
-whose expression has no mandatory trigram scans every document.
+whose expression has no mandatory trigram scans every document. Candidates are told by their identifiers and a number of rules, and
+broadcast while they are at most CANDIDATES; beyond that they are joined.
 
 Spans are found by matching "anything, then the rule or the end" over and over, which tells the lengths of gaps and
-matches in one pass; running sums of those are code-point positions.
+matches in one pass; running sums of those, made in runs of STEP, are code-point positions.
 
 Cases: a null or empty text has no spans; a document with a null doc_id isn't in the index and is matched against every rule;
 rows of one doc_id are candidates together and matched each; an empty table gives no rows; other columns are ignored.
@@ -17,11 +18,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Identifiers of an index block.
-BLOCK = 1024
+from .common import materialise
+
+#: Identifiers of an index block, candidates that are broadcast (16 bytes each), matches whose places are summed up together.
+BLOCK, CANDIDATES, STEP = 1024, 1 << 18, 256
 
 
 @dataclass(frozen=True)
@@ -41,9 +44,10 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 24, 0, True),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # to its END line; without one, its heading lines and what may be base64
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*[A-Za-z]+-[A-Za-z]+: [^\n]*){0,3}(?:[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*)"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_password", r"[a-z]{2,12}://[A-Za-z0-9_.-]{1,64}:[^\s:@/]{3,64}@[A-Za-z0-9]"),
+    Rule("url_password", r"[a-z]{2,12}://[A-Za-z0-9_.-]+:[^\s:@/]{3,}@[A-Za-z0-9]"),
 )
 RULES = BASE + MORE
 
@@ -152,11 +156,16 @@ def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, rules: the kinds of the indexed rules whose query a document satisfies."""
-    found = [(r.kind, query_of(r.regex)) for r in rules]
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), postings(q, F.col("postings")).alias("docs")) for k, q in found if q is not True))
-    hits = index.select(F.explode(each).alias("hit")).select("hit.kind", F.explode("hit.docs").alias("doc_id"))
-    return hits.groupBy("doc_id").agg(F.collect_set("kind").alias("rules"))
+    """doc_id, rules: a bit for each indexed rule whose query a document satisfies."""
+    found = [(1 << at, query_of(r.regex)) for at, r in enumerate(rules)]
+    each = F.array(*(F.struct(F.lit(bit).cast("long").alias("bit"), postings(q, F.col("postings")).alias("docs")) for bit, q in found if q is not True))
+    hits = index.select(F.explode(each).alias("hit")).select("hit.bit", F.explode("hit.docs").alias("doc_id"))
+    return hits.groupBy("doc_id").agg(F.bit_or("bit").alias("rules"))
+
+
+def held(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def spans_of(text: Column, rule: Rule, at: int) -> Column:
@@ -165,7 +174,7 @@ def spans_of(text: Column, rule: Rule, at: int) -> Column:
     gaps, matches = (F.transform(F.regexp_extract_all("text", pattern, F.lit(k)), lambda x: F.char_length(x)) for k in (1, 2))
     values = F.transform(F.regexp_extract_all("text", pattern, F.lit(2 + rule.groups)), lambda x: F.char_length(x)) if rule.groups else matches
     zipped = F.arrays_zip(gaps.alias("gap"), matches.alias("size"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,place:int,stop:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,place:int,stop:int>>")
 
     def step(state: Column, x: Column) -> Column:
         begin = state["pos"] + x["gap"]
@@ -173,13 +182,29 @@ def spans_of(text: Column, rule: Rule, at: int) -> Column:
         good = (x["size"] > 0) & (x["value"] >= rule.least)
         return F.struct((begin + x["size"]).alias("pos"), F.when(good, F.concat(state["out"], F.array(own))).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(zipped, start, step, lambda s: s["out"])
+    # a list grows by copies of itself, so it is made in short runs, each from the sum of the lengths before it
+    def in_runs(all_of: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / STEP).cast("int")), lambda k: F.slice(all_of, k * STEP + 1, STEP))
+        return held(runs, with_places)
+
+    def with_places(runs: Column) -> Column:
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        return held(sums, lambda s: F.flatten(F.transform(runs, lambda r, k: F.aggregate(r, F.struct(F.aggregate(F.slice(s, F.lit(1), k), F.lit(0), lambda n, x: n + x).alias("pos"), none.alias("out")), step, lambda e: e["out"]))))
+
+    return held(zipped, in_runs)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "spans") -> DataFrame:
     """docs with a column `into`: array<struct<start, place, stop>> by start and then rule; place is the rule's number from 0."""
-    found = candidates(trigram_index(docs, rules), rules)
-    joined = docs.withColumn("text", F.coalesce("text", F.lit(""))).join(found.toDF("_candidate", "_rules"), F.col("doc_id") == F.col("_candidate"), "left")
+    found = materialise(candidates(trigram_index(docs, rules), rules).toDF("_candidate", "_rules"), "candidates")
+    texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    if found.count() <= CANDIDATES:
+        joined = texts.join(F.broadcast(found), F.col("doc_id") == F.col("_candidate"), "left")
+    else:
+        # rows without an identifier are dealt by their texts, to keys that none has
+        nowhere = F.concat(F.lit("-"), F.xxhash64("text"))
+        joined = texts.join(found, F.coalesce(F.col("doc_id").cast("long").cast("string"), nowhere) == F.col("_candidate").cast("string"), "left")
+        joined = joined.withColumn("_rules", F.when(F.col("doc_id").isNotNull(), F.col("_rules")))
     none = F.array().cast("array<struct<start:int,place:int,stop:int>>")
     own = []
     for at, r in enumerate(rules):
@@ -188,7 +213,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "spans")
             run = re.fullmatch(r"(\[[^]]+\])\+", r.regex)
             maybe = F.col("text").rlike(f"{run[1]}{{{r.least}}}" if run and r.least else r.regex)
         else:
-            maybe = F.col("doc_id").isNull() | F.coalesce(F.array_contains("_rules", r.kind), F.lit(False))
+            maybe = F.col("doc_id").isNull() | (F.coalesce("_rules", F.lit(0)).bitwiseAND(F.lit(1 << at)) != 0)
         own.append(F.when(maybe, spans_of(F.col("text"), r, at)).otherwise(none))
     return joined.withColumn(into, F.sort_array(F.concat(*own))).drop("_candidate", "_rules")
 

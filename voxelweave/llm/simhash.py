@@ -6,12 +6,15 @@ away from both exists; so the sets of codewords that the words within one bit of
 perfect (23, 12) Golay code, meet. The keys of a fingerprint are thus, for each segment, its bits and the indices of the
 next segment's nearby codewords: one or six. Fingerprints that share a key are candidates; the distance is verified.
 
-Distinct fingerprints are worked on, so copies cost nothing. A key with many of them isn't expanded to pairs:
+Distinct fingerprints are worked on, so copies cost nothing. A key with over PAIRWISE of them isn't expanded to pairs:
 its fingerprints are grouped by the words at most one bit away; all that share such a word are within 2 bits,
-and any two within 2 bits share one, so a star per word loses no link.
+and any two within 2 bits share one, so a star per word loses no link and makes none that isn't there.
+
+`soft_keys` are the keys for a least similarity of texts, where fingerprints differ in more bits than any pigeonhole bears: the votes of the
+shingles, not the bits alone, say which codewords a segment is near to, as in soft-decision decoding (see `near_copies`).
 
 Cases: a null or empty text, or one without words, has fingerprint 0; a null doc_id gets a fingerprint and a null
-component; repeated rows are each returned; an empty table gives no rows; other columns are ignored.
+component; repeated rows are each returned; rows of one doc_id are in one component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices
+from .common import join_by_weight, materialise, text_slices
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: Soft keys: fingerprints of two segments of 23 bits each, and keys of each.
+TABLES, PLACES = 6, 12
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Fingerprints of a key that are still compared pair by pair.
 PAIRWISE = 24
@@ -36,6 +41,15 @@ PAIRWISE = 24
 GOLAY = 0b110001110101
 
 
+def set_bits(words: np.ndarray) -> np.ndarray:
+    """How many rows of 64-bit words, (n, k), have each bit set: (k * 64) counts."""
+    raw = np.ascontiguousarray(words).astype("<u8").view(np.uint8).reshape(len(words), -1)
+    count = np.zeros(8 * raw.shape[1], np.int64)
+    for at in range(0, len(raw), 255):  # as many as a byte can count
+        count += np.add.reduce(np.unpackbits(raw[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return count
+
+
 def fingerprint(text: str | None) -> int:
     """SimHash of one text: a bit is set if it is in over half of the shingle hashes."""
     words = (text or "").encode().lower().split()
@@ -46,9 +60,7 @@ def fingerprint(text: str | None) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(SHINGLE, len(words))
     hashes = np.fromiter((xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64)
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        count += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    count = set_bits(hashes[:, None])
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -99,6 +111,42 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B185EBCA87)
+    return x ^ x >> np.uint64(32)
+
+
+@functools.cache
+def codewords() -> np.ndarray:
+    """The 4,096 codewords by index, as rows of 1 and -1."""
+    words = (np.arange(1 << 12, dtype=np.uint64) << np.uint64(11))
+    low, high, _ = golay_tables()
+    words ^= low[words & np.uint64(0xFFF)] ^ high[words >> np.uint64(12)]
+    return (2.0 * (words[:, None] >> np.arange(23, dtype=np.uint64) & np.uint64(1)).astype(np.float32) - 1).astype(np.float32)
+
+
+def votes(shingles: np.ndarray) -> np.ndarray:
+    """(TABLES, 46) votes of shingle hashes: those for a set bit less those against, at most some 2^18."""
+    turned = mixed(shingles[:, None] ^ mixed(np.arange(1, TABLES + 1, dtype=np.uint64))[None, :])
+    out = 2 * set_bits(turned).reshape(TABLES, 64)[:, :46] - len(shingles)
+    return out >> max(0, int(np.abs(out).max()).bit_length() - 18)
+
+
+def soft_keys(all_votes: np.ndarray) -> np.ndarray:
+    """Keys of fingerprints, from their votes (n, TABLES, 46): for each table the PLACES pairs of codewords that the votes of its two segments are for most."""
+    n = len(all_votes)
+    found = []
+    for at in range(0, n, 64):
+        part = all_votes[at : at + 64].reshape(-1, 23).astype(np.float32)
+        score = (part @ codewords().T).astype(np.int64) << 12 | np.arange(1 << 12)
+        found.append(np.sort(np.partition(score, -8, axis=1)[:, -8:], axis=1))
+    best = np.concatenate(found).reshape(n * TABLES, 2, 8)
+    score, word = best >> 12, best & 4095
+    both = (score[:, 0, :, None] + score[:, 1, None, :] << 24 | word[:, 0, :, None] << 12 | word[:, 1, None, :]).reshape(n * TABLES, 64)
+    pairs = np.partition(both, -PLACES, axis=1)[:, -PLACES:] & (1 << 24) - 1
+    return ((np.tile(np.arange(TABLES), n) << 24)[:, None] | pairs).reshape(n, TABLES * PLACES).astype(np.int32)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,8 +158,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """distinct(print, node), one row per fingerprint: links a, b between nodes whose fingerprints are within radius (2 at most)."""
+def links(distinct: DataFrame) -> DataFrame:
+    """distinct(print, node), one row per fingerprint: links a, b between nodes whose fingerprints differ in at most RADIUS bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,16 +169,14 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 part = batch.slice(at, 8192).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], ["key", "print", "node"])
 
-    keyed = distinct.mapInArrow(run, "key long, print long, node long")
+    keyed = materialise(distinct.select("print", "node").mapInArrow(run, "key long, print long, node long"), "golay-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = materialise(keyed.join(shared, "key"), "golay-keys")
+    sized = materialise(keyed.join(shared, "key"), "shared-keys")
     few = sized.where(F.col("n") <= PAIRWISE)
     one, two = few.alias("x"), few.alias("y")
-    near = F.bit_count(F.col("x.print").bitwiseXOR(F.col("y.print"))) <= radius
+    near = F.bit_count(F.col("x.print").bitwiseXOR(F.col("y.print"))) <= RADIUS
     pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)))
-    if radius < 2:
-        flips = F.array(F.lit(0).cast("long"))
     many = sized.where(F.col("n") > PAIRWISE).select("print", "node").distinct()
     words = many.select("node", F.explode(F.transform(flips, lambda f: F.col("print").bitwiseXOR(f))).alias("word"))
     hubs = words.groupBy("word").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -138,17 +184,22 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def links_of_ids(told: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Links between the fingerprints of one doc_id, where it has several."""
+    each = told.select("doc_id", "print").distinct()
+    several = each.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("print").alias("low")).where("n > 1").drop("n")
+    pairs = each.join(several, "doc_id").where("print <> low").select("print", "low").distinct()
+    low = distinct.select(F.col("print").alias("low"), F.col("node").alias("b"))
+    return pairs.join(distinct.select("print", F.col("node").alias("a")), "print").join(low, "low").select("a", "b")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, print (the fingerprint's bits as a long) and component_id of every document."""
     prints = materialise(fingerprints(docs), "fingerprints")
-    distinct = prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
-    joined = components(links(distinct))
-    named = distinct.join(joined, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "print", "left").select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates of a smaller doc_id; repeated rows go too, rows without doc_id stay."""
-    kept = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).union(docs.where("doc_id is null"))
+    told = prints.where("doc_id is not null")
+    distinct = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "distinct-prints")
+    nodes = distinct.where("node is not null")
+    joined = components(links(nodes).union(links_of_ids(told, nodes)))
+    named = distinct.join(joined, "node", "left").select("print", "rows", F.coalesce("component", "node").alias("component_id"))
+    found = join_by_weight(prints, named, "print", "rows", "doc_id")
+    return found.select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
