@@ -95,24 +95,33 @@ def test_op1_rows(make, roots):
     assert simhash.classes(make([], DOCS)).collect() == []
 
 
-def test_soft_keys_meet_from_a_similarity_of_four_fifths():
+@pytest.mark.parametrize("segments", [2, 3])
+def test_soft_keys_meet_from_a_similarity_of_four_fifths(segments):
     rng = np.random.default_rng(11)
     missed = {}
     for n in (5, 9, 45, 400):
-        shared = 4 * n // 5 if n == 5 else round(2 * n * 0.8 / 1.8)
-        assert shared / (2 * n - shared) >= 0.66
+        shared = 4 if n == 5 else round(2 * n * 0.8 / 1.8)
         one, two = [], []
         for _ in range(400):
             both = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
-            one.append(simhash.votes(both[:n]))
-            two.append(simhash.votes(np.concatenate((both[:shared], both[n : n + (0 if n == 5 else n - shared)]))))
-        a, b = simhash.soft_keys(np.array(one)), simhash.soft_keys(np.array(two))
+            one.append(simhash.votes(both[:n], segments))
+            two.append(simhash.votes(np.concatenate((both[:shared], both[n : n + (0 if n == 5 else n - shared)])), segments))
+        a, b = simhash.soft_keys(np.array(one), segments), simhash.soft_keys(np.array(two), segments)
         missed[n] = sum(not set(x.tolist()) & set(y.tolist()) for x, y in zip(a, b, strict=True))
-        assert len(set(a[0].tolist())) == simhash.TABLES * simhash.PLACES
-        assert (simhash.soft_keys(np.array(one)[:3]) == a[:3]).all()
+        tables, places = simhash.PLANS[segments]
+        assert len(set(a[0].tolist())) == tables * places
+        assert (simhash.soft_keys(np.array(one)[:3], segments) == a[:3]).all()
     assert max(missed.values()) <= 4, missed
 
 
+def test_sizes_of_alike_sets_share_a_cell():
+    from voxelweave.llm import near_copies
+
+    for size in range(1, 3000):
+        for other in {size, size * 5 // 4, (size + size * 5 // 4) // 2}:
+            assert set(near_copies.cells(size)) & {near_copies.cells(other)[0]}, (size, other)
+
+
 def test_components_of_chains_and_stars(spark, roots):
     rnd = random.Random(6)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + rnd.randrange(1, 80)) for _ in range(60)] + [(200 + rnd.randrange(50), 200 + rnd.randrange(50)) for _ in range(40)]

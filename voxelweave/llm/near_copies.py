@@ -1,9 +1,10 @@
 """Near-copies of documents by SimHash and Golay keys: five-word shingles, Jaccard similarity of at least 0.8.
 
 A text's words are as in `simhash`, its shingles five words in a row (fewer words: all of them). Texts of a similarity of 0.8 differ
-in some 15 of 100 bits of a SimHash, more than the pigeonhole of `simhash.links` bears. So a text has simhash.TABLES fingerprints of two
-segments of 23 bits, and of each the keys are the pairs of Golay codewords that its votes are for most (`simhash.soft_keys`). A pair at
-exactly the threshold shares no key with a probability of some 0.0007, closer ones far less (tests measure it).
+in some 15 of 100 bits of a SimHash, more than the pigeonhole of `simhash.links` bears. So a text has several fingerprints of two
+segments of 23 bits (three beyond some millions of texts), and of each the keys are the tuples of Golay codewords that its votes are for
+most (`simhash.soft_keys`). A key goes with a size: of two texts that are alike the larger has at most 5/4 of the other's shingles.
+A pair at exactly the threshold shares no key with a probability of some 0.0007, closer ones far less (tests measure it).
 
 Texts that share a key are candidates. Their fingerprints are compared first, in the keys' groups: a pair of over BITS
 different bits isn't near. Then whole shingle sets decide, so no other pair is linked, in two steps. Each text is verified against the least
@@ -17,6 +18,7 @@ several texts there, the one of the least text hash); rows of one doc_id whose t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, pairs_in_runs, runs_of, spread, text_slices
 from .components import components
-from .simhash import TABLES, mixed, soft_keys, votes
+from .simhash import PLANS, mixed, plan_soft_keys, soft_keys, votes
 
 SHINGLE, SEED = 5, 42
 #: Least similarity, as a fraction.
@@ -36,7 +38,11 @@ SHARED, OF = 4, 5
 BITS = 92
 #: Shingles of the candidates that are walked together, about; candidates of a block of a large group, and of small groups that are compared in one go.
 VOLUME, BLOCK, TOGETHER = 1 << 21, 4096, 1 << 15
-WORDS = -(-46 * TABLES // 64)
+#: Bits and 64-bit words of a fingerprint that is compared: all of the plan of two segments.
+PRINT = 46 * PLANS[2][0]
+WORDS = -(-PRINT // 64)
+#: Sizes from one power of this to the next go together.
+CELL = (OF / SHARED) ** 2
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -65,22 +71,28 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield part, [shingles(x) for x in part.column(batch.num_columns - 1).to_pylist()]
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node, size, fingerprint and keys of every document; no keys without words."""
+def cells(size: int) -> list[int]:
+    """The cells of a set's size: its own, and the next if a set of 5/4 the size is there. Of two such sets the smaller one's hold the other's own."""
+    own = int(math.log(size) / math.log(CELL) + 1e-9)
+    return [own, own + 1] if math.log(size * OF / SHARED) / math.log(CELL) + 1e-9 >= own + 1 else [own]
+
+
+def named(docs: DataFrame, segments: int) -> DataFrame:
+    """doc_id, text_key, node, size, fingerprint, cells and keys of every document; no keys without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in parts(batches):
             full = [x for x in sets if len(x)]
-            each = np.array([votes(x) for x in full]).reshape(len(full), TABLES, 46)
+            each = np.array([votes(x, segments) for x in full], np.int64).reshape(len(full), PLANS[segments][0], 23 * segments)
             bits = np.zeros((len(full), 64 * WORDS), np.uint8)
-            bits[:, : 46 * TABLES] = each.reshape(len(full), -1) > 0
+            bits[:, :PRINT] = each.reshape(len(full), -1)[:, :PRINT] > 0
             prints = iter(np.packbits(bits, axis=1, bitorder="little"))
-            keys = iter(soft_keys(each) if full else ())
-            of = [(next(prints).tobytes(), next(keys)) if len(x) else (b"", np.zeros(0, np.int32)) for x in sets]
-            columns = pa.array([node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([p for p, _ in of], pa.binary()), pa.array([k for _, k in of], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "text_key", "node", "size", "print", "keys"])
+            keys = iter(soft_keys(each, segments) if full else ())
+            of = [(next(prints).tobytes(), next(keys), cells(len(x))) if len(x) else (b"", np.zeros(0, np.int64), []) for x in sets]
+            columns = pa.array([node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in of], pa.binary()), pa.array([x[2] for x in of], pa.list_(pa.int32())), pa.array([x[1] for x in of], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "text_key", "node", "size", "print", "cells", "keys"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, node long, size long, print binary, keys array<int>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, node long, size long, print binary, cells array<int>, keys array<long>")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -203,15 +215,16 @@ def dealt(members: DataFrame, blocks) -> DataFrame:
 
 def in_groups(members: DataFrame, total: int):
     small = F.pmod(F.xxhash64("key"), F.lit(max(1, total // TOGETHER)))
-    rows = dealt(members, F.ceil(F.col("n") / BLOCK)).withColumn("group", F.when(F.col("blocks") == 1, small).otherwise(F.col("key").cast("long")))
+    rows = dealt(members, F.ceil(F.col("n") / BLOCK)).withColumn("group", F.when(F.col("blocks") == 1, small).otherwise(F.col("key")))
     return rows.select("key", "node", "component", "print", "side", "group", "one", "two", (F.col("blocks") == 1).alias("whole")).groupBy("whole", "group", "one", "two")
 
 
 def links(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Links a, b between nodes."""
-    distinct = names.where("size > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "text_key", "size", "print", "keys"), F.struct("doc_id", "text_key")).alias("of")).select("node", "of.*")
+    distinct = names.where("size > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "text_key", "size", "print", "cells", "keys"), F.struct("doc_id", "text_key")).alias("of")).select("node", "of.*")
     distinct = materialise(distinct, "distinct-texts")
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    in_cell = distinct.select("node", F.explode("cells").alias("cell"), "keys")
+    keyed = in_cell.select("node", F.explode(F.transform("keys", lambda k: F.shiftleft(F.col("cell").cast("long"), 44) + k)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(keyed.join(shared, "key"), "key-members")
     total = members.count()
@@ -225,7 +238,7 @@ def links(docs: DataFrame, names: DataFrame) -> DataFrame:
     first = materialise(verified(pairs, sets), "hub-links")
     joined = components(first)
     placed = members.join(prints, "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = materialise(in_groups(placed, total).applyInArrow(apart, "key int, node long").distinct(), "members-apart")
+    left = materialise(in_groups(placed, total).applyInArrow(apart, "key long, node long").distinct(), "members-apart")
     found = distinct.join(left.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "size").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = materialise(whole_sets(only(docs, found)).dropDuplicates(["node"]), "sets-apart")
     walked = left.join(found.select("node", "size", "component"), "node")
@@ -239,7 +252,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-copies of a smaller doc_id; repeated rows go too, rows without doc_id stay."""
     rows = docs.withColumn("text_key", F.xxhash64("text"))
     told = rows.where("doc_id is not null")
-    names = materialise(named(told.withColumn("doc_id", F.col("doc_id").cast("long"))), "fingerprints")
+    names = materialise(named(told.withColumn("doc_id", F.col("doc_id").cast("long")), plan_soft_keys(told.count())), "fingerprints")
     joined = components(links(told, names))
     least = names.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("of")).join(joined, "node", "left")
     kept = least.groupBy(F.coalesce("component", "node")).agg(F.min("of").alias("of")).select("of.*").distinct()

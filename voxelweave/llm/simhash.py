@@ -32,8 +32,10 @@ from .common import join_by_weight, materialise, text_slices
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Soft keys: fingerprints of two segments of 23 bits each, and keys of each.
-TABLES, PLACES = 6, 12
+#: Soft keys by the segments of a key: how many fingerprints of so many segments of 23 bits, and how many keys of each.
+PLANS = {2: (6, 12), 3: (12, 24)}
+#: Texts up to which keys of two segments seldom meet by chance.
+TWO_SEGMENTS = 1 << 22
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Fingerprints of a key that are still compared pair by pair.
 PAIRWISE = 24
@@ -125,26 +127,35 @@ def codewords() -> np.ndarray:
     return (2.0 * (words[:, None] >> np.arange(23, dtype=np.uint64) & np.uint64(1)).astype(np.float32) - 1).astype(np.float32)
 
 
-def votes(shingles: np.ndarray) -> np.ndarray:
-    """(TABLES, 46) votes of shingle hashes: those for a set bit less those against, at most some 2^18."""
-    turned = mixed(shingles[:, None] ^ mixed(np.arange(1, TABLES + 1, dtype=np.uint64))[None, :])
-    out = 2 * set_bits(turned).reshape(TABLES, 64)[:, :46] - len(shingles)
-    return out >> max(0, int(np.abs(out).max()).bit_length() - 18)
+def plan_soft_keys(texts: int) -> int:
+    """The segments of a key for this many texts: a key has 12 bits of each, and there are 4,096 times as many keys of one more."""
+    return 2 if texts <= TWO_SEGMENTS else 3
 
 
-def soft_keys(all_votes: np.ndarray) -> np.ndarray:
-    """Keys of fingerprints, from their votes (n, TABLES, 46): for each table the PLACES pairs of codewords that the votes of its two segments are for most."""
-    n = len(all_votes)
+def votes(shingles: np.ndarray, segments: int = 2) -> np.ndarray:
+    """(fingerprints, segments * 23) votes of shingle hashes: those for a set bit less those against, at most some 2^18."""
+    n = PLANS[segments][0] * segments
+    turned = mixed(shingles[:, None] ^ mixed(np.arange(1, -(-n // 2) + 1, dtype=np.uint64))[None, :])
+    out = 2 * set_bits(turned).reshape(-1, 64)[:, :46].reshape(-1, 23)[:n] - len(shingles)
+    return (out >> max(0, int(np.abs(out).max()).bit_length() - 18)).reshape(-1, segments * 23)
+
+
+def soft_keys(all_votes: np.ndarray, segments: int = 2) -> np.ndarray:
+    """Keys of texts, from their votes: for each fingerprint the tuples of codewords that the votes of its segments are for most."""
+    n, (tables, places) = len(all_votes), PLANS[segments]
     found = []
     for at in range(0, n, 64):
         part = all_votes[at : at + 64].reshape(-1, 23).astype(np.float32)
         score = (part @ codewords().T).astype(np.int64) << 12 | np.arange(1 << 12)
-        found.append(np.sort(np.partition(score, -8, axis=1)[:, -8:], axis=1))
-    best = np.concatenate(found).reshape(n * TABLES, 2, 8)
-    score, word = best >> 12, best & 4095
-    both = (score[:, 0, :, None] + score[:, 1, None, :] << 24 | word[:, 0, :, None] << 12 | word[:, 1, None, :]).reshape(n * TABLES, 64)
-    pairs = np.partition(both, -PLACES, axis=1)[:, -PLACES:] & (1 << 24) - 1
-    return ((np.tile(np.arange(TABLES), n) << 24)[:, None] | pairs).reshape(n, TABLES * PLACES).astype(np.int32)
+        found.append(np.partition(score, -8, axis=1)[:, -8:])
+    best = np.concatenate(found).reshape(n * tables, segments, 8)
+    score, key = best[:, 0] >> 12, best[:, 0] & 4095
+    for s in range(1, segments):
+        score = (score[:, :, None] + (best[:, s] >> 12)[:, None, :]).reshape(n * tables, -1)
+        key = (key[:, :, None] << 12 | (best[:, s] & 4095)[:, None, :]).reshape(n * tables, -1)
+    # of equal sums the larger keys, so that texts choose alike
+    order = np.lexsort((key, score))[:, -places:]
+    return (np.tile(np.arange(tables), n)[:, None] << 12 * segments | np.take_along_axis(key, order, axis=1)).reshape(n, tables * places)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
