@@ -30,7 +30,7 @@ UNDETERMINED = "und"
 #: Distinct words, and bytes of text that they come from, that a task holds before it hands their counts on.
 HELD, HELD_BYTES = 400_000, 32 << 20
 #: Bytes of unseen words and their scores that a model keeps at hand, about.
-CACHED = 40 << 20
+CACHED = 16 << 20
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

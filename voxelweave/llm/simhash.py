@@ -144,10 +144,13 @@ def soft_keys(all_votes: np.ndarray, segments: int = 2) -> np.ndarray:
     """Keys of texts, from their votes: for each fingerprint the tuples of codewords that the votes of its segments are for most."""
     n, (tables, places) = len(all_votes), PLANS[segments]
     found = []
-    for at in range(0, n, 64):
-        part = all_votes[at : at + 64].reshape(-1, 23).astype(np.float32)
-        score = (part @ codewords().T).astype(np.int64) << 12 | np.arange(1 << 12)
-        found.append(np.partition(score, -8, axis=1)[:, -8:])
+    for at in range(0, n, 4):  # some texts at a time: each has 4,096 scores a segment
+        part = all_votes[at : at + 4].reshape(-1, 23).astype(np.float32)
+        score = (part @ codewords().T).astype(np.int64)
+        score <<= 12
+        score |= np.arange(1 << 12)
+        score.partition(-8, axis=1)
+        found.append(score[:, -8:].copy())
     best = np.concatenate(found).reshape(n * tables, segments, 8)
     score, key = best[:, 0] >> 12, best[:, 0] & 4095
     for s in range(1, segments):
