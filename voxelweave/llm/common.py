@@ -89,7 +89,7 @@ class PieceCache:
     #: Bytes that an entry takes besides its string and ids, about.
     ENTRY = 200
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], width: int, room: int = 100 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], width: int, room: int = 32 << 20):
         self.encode, self.width, self.room, self.known, self.held = encode, width, room, {"": b""}, 0
 
     def ids_of(self, strings: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,6 +29,8 @@ LONGEST, CERTAIN, SMOOTHING, PER_LANGUAGE = 4, 30, 0.5, 2000
 UNDETERMINED = "und"
 #: Distinct words, and bytes of text that they come from, that a task holds before it hands their counts on.
 HELD, HELD_BYTES = 400_000, 32 << 20
+#: Bytes of text that are looked at together.
+SLICE = 1 << 20
 #: Bytes of unseen words and their scores that a model keeps at hand, about.
 CACHED = 16 << 20
 
@@ -63,7 +65,7 @@ def counts(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for a, b in text_slices(batch.column(1)):
+            for a, b in text_slices(batch.column(1), SLICE):
                 part = batch.slice(a, b - a)
                 words, offsets = words_of(part.column(1))
                 words = words.to_pylist()
@@ -168,7 +170,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_slices(batch.column(text_at)):
+            for a, b in text_slices(batch.column(text_at), SLICE):
                 part = batch.slice(a, b - a)
                 langs, score = shared.value.predict(part.column(text_at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
