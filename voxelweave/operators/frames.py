@@ -133,21 +133,23 @@ def residuals(voxels: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     return rows.select(*FRAME, *BRICK, "vi", *(F.pmod(F.col(c) - F.coalesce(F.col(f"p{c}"), F.lit(0)), F.lit(256)).alias(f"d{c}") for c in COLOUR))
 
 
-def concat(streams: list[DataFrame], rates: list[float] | None = None, scene: str = "joined") -> DataFrame:
-    """Streams one after the other under one scene: frames are renumbered by the counts before."""
+def concat(streams: list[DataFrame], rates: list[float] | None = None, scene: str = "joined", counts: list[int] | None = None) -> DataFrame:
+    """Streams one after the other under one scene: frames are renumbered by the counts before.
+
+    counts says how many frames each stream has, empty ones at its end included; without it a stream ends with its last voxel, which takes a job each.
+    """
     import warnings
 
     if rates and max(rates) - min(rates) > 0.1:
         warnings.warn("frame rates differ; the first stream's holds", stacklevel=2)
-    out, start = None, F.lit(0)
-    session = streams[0].sparkSession
-    counts = [s.agg((F.max("frame") + 1).alias("n")).first()["n"] or 0 for s in streams]
-    start = 0
+    if counts is None:
+        counts = [s.agg((F.max("frame") + 1).alias("n")).first()["n"] or 0 for s in streams]
+    out, start = None, 0
     for s, n in zip(streams, counts, strict=True):
         part = s.withColumn("frame", (F.col("frame") + start).cast("int")).withColumn("scene", F.lit(scene))
         out = part if out is None else out.unionByName(part)
         start += n
-    return out if out is not None else session.createDataFrame([], streams[0].schema)
+    return out
 
 
 def split(voxels: DataFrame, seconds: float, rate: float) -> DataFrame:

@@ -103,6 +103,31 @@ def curvature(voxels: DataFrame, value: Column, background: float = 0.0) -> Data
     return g.select(*FRAME, *CELL, F.when(n2 > 0, mean).alias("mean"), F.when(n2 > 0, gauss).alias("gaussian")).where("mean is not null")
 
 
+def principal_curvatures(voxels: DataFrame, value: Column, background: float = 0.0) -> DataFrame:
+    """The least and the greatest curvature of the level set through each voxel."""
+    c = curvature(voxels, value, background)
+    apart = F.sqrt(F.greatest(F.col("mean") ** 2 - F.col("gaussian"), F.lit(0.0)))
+    return c.select(*FRAME, *CELL, (F.col("mean") - apart).alias("least"), (F.col("mean") + apart).alias("greatest"))
+
+
+def closest_points(voxels: DataFrame, value: Column, background: float = 0.0) -> DataFrame:
+    """For a value that is a distance, the point of the surface next to each voxel: the cell less the distance along the gradient."""
+    g = gathered(voxels, value, FACES, background)
+    return g.select(*FRAME, *CELL, *((F.col(a) - F.col("v") * 0.5 * (F.col(f"{a}p") - F.col(f"{a}m"))).alias(f"c{a}") for a in CELL))
+
+
+def slopes_at_points(voxels: DataFrame, points: DataFrame, value: Column, level: float = 0.0, background: float = 0.0) -> DataFrame:
+    """The gradient of the trilinear sample at points(scene, frame, point, px, py, pz), and whether a level crosses the eight cells around."""
+    rows = points
+    for a in CELL:
+        base, t = F.floor(f"p{a}"), F.col(f"p{a}") - F.floor(f"p{a}")
+        near = F.array(*(F.struct((base + k).cast("int").alias(a), w.alias(f"w{a}"), F.lit(s).alias(f"s{a}")) for k, w, s in ((0, 1 - t, -1.0), (1, t, 1.0))))
+        rows = rows.withColumn("near", F.explode(near)).select(*rows.columns, "near.*")
+    joined = rows.join(voxels.select(*FRAME, *CELL, value.cast("double").alias("value")), [*FRAME, *CELL], "left").fillna(background, "value")
+    slopes = [F.sum(F.col(f"s{a}") * F.col(f"w{b}") * F.col(f"w{c}") * F.col("value")).alias(f"g{a}") for a, b, c in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))]
+    return joined.groupBy(*points.columns).agg(*slopes, F.sum((F.col("value") < level).cast("int")).between(1, 7).alias("crosses"))
+
+
 def weno(a: str, b: str, c: str, d: str, e: str) -> str:
     """The fifth-order weighted essentially non-oscillatory flux of five differences, as a SQL expression that both engines take."""
     parts = (
@@ -208,3 +233,11 @@ def first_hits(voxels: DataFrame, rays: DataFrame, low: tuple[int, int, int], hi
     """The first voxel on each ray, and where it is entered; rays that meet none are dropped."""
     hits = ray_cells(rays, low, high).join(voxels, [*FRAME, *CELL])
     return hits.groupBy(*FRAME, "ray").agg(F.min_by(F.struct(*CELL, "t"), "t").alias("hit")).select(*FRAME, "ray", "hit.*")
+
+
+def ray_clip(o: tuple[Column, ...], d: tuple[Column, ...], low: tuple[Column, ...], high: tuple[Column, ...], start: Column, stop: Column) -> tuple[Column, Column]:
+    """The part of a ray from start to stop that is in a box; nulls if there is none."""
+    near, far = ray_box(o, d, low, high)
+    first, last = F.greatest(near, start), F.least(far, stop)
+    meets = near.isNotNull() & (first <= last)
+    return F.when(meets, first), F.when(meets, last)

@@ -248,10 +248,9 @@ def header_fields(s, d):
     return whole(table(s, d, "orders").select("o_orderkey", F.round(A.duration(k, F.lit(30.0)), 6).alias("seconds"), F.round(A.duration(k, F.lit(30.0), c / 30.0), 6).alias("checked"), A.pack_version(k % 4, k % 8, k % 16, k % 32).alias("version"), A.map_words(k).alias("words")))
 
 
-ERROR_SQL = " ".join(f"WHEN {k} THEN '{v}'" for k, v in A.ERRORS.items())
-
-
-@query(f"SELECT o_orderkey, CASE o_orderkey % 12 {ERROR_SQL} ELSE 'unknown error' END AS message FROM orders")
+# The error texts as SQL.
+@query("""SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'success' WHEN 1 THEN 'invalid arguments' WHEN 2 THEN 'invalid input' WHEN 3 THEN 'out of memory' WHEN 4 THEN 'file open'
+  WHEN 5 THEN 'file read' WHEN 6 THEN 'file write' WHEN 7 THEN 'runtime' WHEN 8 THEN 'internal' ELSE 'unknown error' END AS message FROM orders""")
 def error_texts(s, d):
     return table(s, d, "orders").select("o_orderkey", A.error_text((F.col("o_orderkey") % 12).cast("int")).alias("message"))
 
@@ -408,16 +407,58 @@ _found["curvature"] = curvature, f"""WITH {scenes.SQL[1:]}, {GATHERED}, df AS (S
   round((fx * fx * (fyy * fzz - fyz * fyz) + fy * fy * (fxx * fzz - fxz * fxz) + fz * fz * (fxx * fyy - fxy * fxy) + 2 * (fx * fy * (fxz * fyz - fxy * fzz) + fx * fz * (fxy * fyz - fxz * fyy) + fy * fz * (fxy * fxz - fyz * fxx))) / (n2 * n2), 5) + 0.0 AS gaussian FROM n WHERE n2 > 0"""
 
 
+CURVED = _found["curvature"][1].split("SELECT scene, frame::BIGINT")[0]
+MEAN, GAUSS = re.search(r"round\((\(.*), 5\) \+ 0.0 AS mean,\s+round\((\(.*), 5\) \+ 0.0 AS gaussian", _found["curvature"][1], re.S).groups()
+
+
+def principal_curvatures(s, d):
+    return whole(neighbours.principal_curvatures(scenes.dense(s, d), F.col("r")).withColumns({c: F.round(c, 4) + 0.0 for c in ("least", "greatest")}))
+
+
+_found["principal_curvatures"] = principal_curvatures, f"{CURVED} , pc AS (SELECT *, {MEAN} AS h, {GAUSS} AS kk FROM n WHERE n2 > 0) SELECT {VX}, round(h - sqrt(greatest(h * h - kk, 0)), 4) + 0.0 AS least, round(h + sqrt(greatest(h * h - kk, 0)), 4) + 0.0 AS greatest FROM pc"
+
+
+def closest_points(s, d):
+    return whole(neighbours.closest_points(scenes.dense(s, d), F.col("r")))
+
+
+_found["closest_points"] = closest_points, f"WITH {scenes.SQL[1:]}, {GATHERED} SELECT {VX}, x - v * 0.5 * (xp - xm) AS cx, y - v * 0.5 * (yp - ym) AS cy, z - v * 0.5 * (zp - zm) AS cz FROM st"
+
+
+def sample_slopes(s, d):
+    got = neighbours.slopes_at_points(scenes.dense(s, d), sample_points(s, d), F.col("r"), 100.0)
+    return whole(got.withColumns({c: F.round(c, 6) + 0.0 for c in ("gx", "gy", "gz")}))
+
+
+def _cell_weights(a: str) -> str:
+    return f"CASE o{a} WHEN 0 THEN 1 - (p{a} - floor(p{a})) ELSE p{a} - floor(p{a}) END AS w{a}, 2 * o{a} - 1 AS s{a}"
+
+
+_found["sample_slopes"] = sample_slopes, f"""WITH {scenes.SQL[1:]}, q AS (SELECT *, {', '.join(map(_cell_weights, 'xyz'))} FROM ({POINTS}), generate_series(0, 1) AS a(ox), generate_series(0, 1) AS b(oy), generate_series(0, 1) AS c(oz))
+  SELECT q.scene, q.frame::BIGINT AS frame, point, px, py, pz, round(sum(sx * wy * wz * coalesce(r, 0)), 6) + 0.0 AS gx, round(sum(wx * sy * wz * coalesce(r, 0)), 6) + 0.0 AS gy, round(sum(wx * wy * sz * coalesce(r, 0)), 6) + 0.0 AS gz,
+  count(*) FILTER (coalesce(r, 0) < 100) BETWEEN 1 AND 7 AS crosses FROM q LEFT JOIN d v ON v.frame = q.frame AND v.x = floor(px) + ox AND v.y = floor(py) + oy AND v.z = floor(pz) + oz GROUP BY ALL"""
+
+
 def weno_norms(s, d):
     return whole(neighbours.weno_norms(scenes.dense(s, d), F.col("r")).withColumn("norm_squared", F.round("norm_squared", 4)))
 
 
-_steps = {"v": (0, 0, 0)} | neighbours.STEPS
-_slopes = {f"{k}{a}": e for a in "xyz" for k, e in zip("du", neighbours.weno_slopes(a), strict=True)}
-_found["weno_norms"] = weno_norms, f"""WITH {scenes.SQL[1:]}, st AS (SELECT scene, frame, x, y, z, max(r) FILTER (n = 'v')::DOUBLE AS v, {', '.join(f"coalesce(max(r) FILTER (n = '{n}'), 0)::DOUBLE AS {n}" for n in neighbours.STEPS)}
-  FROM (SELECT scene, frame, n, d.x - ox AS x, d.y - oy AS y, d.z - oz AS z, r FROM d , (VALUES {', '.join(f"('{n}', {x}, {y}, {z})" for n, (x, y, z) in _steps.items())}) AS o(n, ox, oy, oz)) GROUP BY ALL HAVING v IS NOT NULL),
-  sl AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _slopes.items())} FROM st)
-  SELECT {VX}, round(CASE WHEN v > 0 THEN {' + '.join(f'greatest(greatest(d{a}, 0) ** 2, least(u{a}, 0) ** 2)' for a in 'xyz')} ELSE {' + '.join(f'greatest(least(d{a}, 0) ** 2, greatest(u{a}, 0) ** 2)' for a in 'xyz')} END, 4) AS norm_squared FROM sl"""
+
+
+def _slope_sql(v: str) -> str:
+    """The slope from five differences in a list, by the three stencils' parabolas, their smoothness and the weights 1 : 6 : 3."""
+    return f"""list_transform([{v}], lambda v: list_transform([[
+      1 / pow(1e-6 + 13 / 12.0 * pow(v[1] - 2 * v[2] + v[3], 2) + pow(v[1] - 4 * v[2] + 3 * v[3], 2) / 4.0, 2), 6 / pow(1e-6 + 13 / 12.0 * pow(v[2] - 2 * v[3] + v[4], 2) + pow(v[2] - v[4], 2) / 4.0, 2),
+      3 / pow(1e-6 + 13 / 12.0 * pow(v[3] - 2 * v[4] + v[5], 2) + pow(3 * v[3] - 4 * v[4] + v[5], 2) / 4.0, 2)]], lambda w:
+      (w[1] * (v[1] / 3.0 - 7 * v[2] / 6.0 + 11 * v[3] / 6.0) + w[2] * (-v[2] / 6.0 + 5 * v[3] / 6.0 + v[4] / 3.0) + w[3] * (v[3] / 3.0 + 5 * v[4] / 6.0 - v[5] / 6.0)) / (w[1] + w[2] + w[3]))[1])[1]"""
+
+
+_found["weno_norms"] = weno_norms, f"""WITH {scenes.SQL[1:]}, o AS (SELECT a, k FROM (VALUES (0), (1), (2)) AS s(a), generate_series(-3, 3) AS t(k)),
+  ne AS (SELECT q.scene, q.frame, q.x, q.y, q.z, q.r::DOUBLE AS v, a, k, coalesce(p.r, 0)::DOUBLE AS w FROM d q CROSS JOIN o LEFT JOIN d p ON p.frame = q.frame AND p.x = q.x + CASE a WHEN 0 THEN k ELSE 0 END AND p.y = q.y + CASE a WHEN 1 THEN k ELSE 0 END AND p.z = q.z + CASE a WHEN 2 THEN k ELSE 0 END),
+  ln AS (SELECT scene, frame, x, y, z, v, a, list(w ORDER BY k) AS l FROM ne GROUP BY ALL),
+  df AS (SELECT *, [l[2] - l[1], l[3] - l[2], l[4] - l[3], l[5] - l[4], l[6] - l[5]] AS low, [l[7] - l[6], l[6] - l[5], l[5] - l[4], l[4] - l[3], l[3] - l[2]] AS high FROM ln),
+  sl AS (SELECT *, {_slope_sql('low')} AS down, {_slope_sql('high')} AS up FROM df)
+  SELECT {VX}, round(sum(CASE WHEN v > 0 THEN greatest(pow(greatest(down, 0), 2), pow(least(up, 0), 2)) ELSE greatest(pow(least(down, 0), 2), pow(greatest(up, 0), 2)) END), 4) AS norm_squared FROM sl GROUP BY scene, frame, x, y, z"""
 
 
 @query("SELECT scene, frame::BIGINT AS frame, y::BIGINT AS y, z::BIGINT AS z, min(x)::BIGINT AS x FROM (SELECT *, lag(x) OVER w = x - 1 AND (lag(r) OVER w > 150) <> (r > 150) AS crosses FROM d WINDOW w AS (PARTITION BY scene, frame, y, z ORDER BY x)) WHERE crosses GROUP BY scene, frame, y, z")
@@ -457,6 +498,13 @@ def ray_intersections(s, d):
     return ray_table(s, d).select("ray", *(F.round(c, 6).alias(n) for c, n in ((near, "box_near"), (far, "box_far"), (ball, "sphere_near"), (plane, "plane_at"))))
 
 
+@query(f"""SELECT ray, round(CASE WHEN greatest(near, 1) <= least(far, 12) THEN greatest(near, 1) END, 6) AS "start", round(CASE WHEN greatest(near, 1) <= least(far, 12) THEN least(far, 12) END, 6) AS stop FROM (SELECT *, {_slabs(2.0, 14.0)} FROM ({RAYS}))""")
+def ray_clips(s, d):
+    o, v = (tuple(F.col(f"{p}{a}") for a in "xyz") for p in "od")
+    start, stop = neighbours.ray_clip(o, v, (F.lit(2.0),) * 3, (F.lit(14.0),) * 3, F.lit(1.0), F.lit(12.0))
+    return ray_table(s, d).select("ray", F.round(start, 6).alias("start"), F.round(stop, 6).alias("stop"))
+
+
 def ray_first_hits(s, d):
     return whole(neighbours.first_hits(scenes.dense(s, d), ray_table(s, d), (0, 0, 0), (15, 15, 15)).withColumn("t", F.round("t", 6)))
 
@@ -588,7 +636,29 @@ def motion_search_dense(s, d):
     return whole(motion.search(scenes.dense(s, d)))
 
 
-_found["motion_search_dense"] = motion_search_dense, None
+def _cost_sql(candidates: str) -> str:
+    """Costs of candidate vectors of bricks: mismatches of the shifted frame before, and colour differences where both are filled."""
+    return f"""SELECT k.frame, k.bx, k.by, k.bz, k.dx, k.dy, k.dz, 768 * (any_value(k.n) + count(p.x) - 2 * count(v.x)) + coalesce(sum(abs(v.r - p.r) + abs(v.g - p.g) + abs(v.b - p.b)), 0) AS cost FROM {candidates} k
+      LEFT JOIN d p ON p.frame = k.frame - 1 AND (p.x - k.dx) // 8 = k.bx AND p.x >= k.dx AND (p.y - k.dy) // 8 = k.by AND p.y >= k.dy AND (p.z - k.dz) // 8 = k.bz AND p.z >= k.dz
+      LEFT JOIN d v ON v.frame = k.frame AND v.x = p.x - k.dx AND v.y = p.y - k.dy AND v.z = p.z - k.dz GROUP BY ALL"""
+
+
+def _better_sql(before: str, costs: str) -> str:
+    """The best vector so far, or the first of the least cost if that is less."""
+    return f"""SELECT b.frame, b.bx, b.by, b.bz, n, CASE WHEN k.cost < b.cost THEN k.dx ELSE b.dx END AS dx, CASE WHEN k.cost < b.cost THEN k.dy ELSE b.dy END AS dy, CASE WHEN k.cost < b.cost THEN k.dz ELSE b.dz END AS dz, least(b.cost, coalesce(k.cost, b.cost)) AS cost FROM {before} b
+      LEFT JOIN (SELECT * FROM {costs} c QUALIFY row_number() OVER (PARTITION BY c.frame, c.bx, c.by, c.bz ORDER BY c.cost, c.dz, c.dy, c.dx) = 1) k ON k.frame = b.frame AND k.bx = b.bx AND k.by = b.by AND k.bz = b.bz"""
+
+
+_found["motion_search_dense"] = motion_search_dense, f"""WITH {scenes.SQL[1:]}, o AS (SELECT ox, oy, oz FROM (VALUES (-1), (0), (1)) AS a(ox), (VALUES (-1), (0), (1)) AS b(oy), (VALUES (-1), (0), (1)) AS c(oz)),
+  nb AS (SELECT frame, bx, by, bz, count(*) AS n FROM db WHERE frame > 0 GROUP BY ALL),
+  z0 AS (SELECT *, 0 AS dx, 0 AS dy, 0 AS dz FROM nb), y0 AS ({_cost_sql('z0')}), b0 AS (SELECT nb.*, dx, dy, dz, cost FROM nb JOIN y0 USING (frame, bx, by, bz)),
+  z1 AS (SELECT nb.*, ox AS dx, oy AS dy, oz AS dz FROM nb, o), y1 AS ({_cost_sql('z1')}), b1 AS ({_better_sql('b0', 'y1')}),
+  z2 AS (SELECT nb.*, 4 * ox AS dx, 4 * oy AS dy, 4 * oz AS dz FROM nb, o), y2 AS ({_cost_sql('z2')}), b2 AS ({_better_sql('b1', 'y2')}),
+  w2 AS (SELECT *, greatest(abs(dx), abs(dy), abs(dz)) AS far FROM b2),
+  z3 AS (SELECT w2.frame, w2.bx, w2.by, w2.bz, n, dx + s * ox AS dx, dy + s * oy AS dy, dz + s * oz AS dz FROM (SELECT *, CASE WHEN far > 1 THEN 2 ELSE 1 END AS s FROM w2 WHERE far > 0) w2, o WHERE far > 1 OR greatest(abs(dx + ox), abs(dy + oy), abs(dz + oz)) > 1),
+  y3 AS ({_cost_sql('z3')}), b3 AS ({_better_sql('b2', 'y3')}),
+  z4 AS (SELECT b3.frame, b3.bx, b3.by, b3.bz, b3.n, b3.dx + ox AS dx, b3.dy + oy AS dy, b3.dz + oz AS dz FROM b3 JOIN w2 USING (frame, bx, by, bz), o WHERE far > 1), y4 AS ({_cost_sql('z4')}), b4 AS ({_better_sql('b3', 'y4')})
+  SELECT 'D' AS scene, frame::BIGINT AS frame, bx::BIGINT AS bx, by::BIGINT AS by, bz::BIGINT AS bz, dx::BIGINT AS dx, dy::BIGINT AS dy, dz::BIGINT AS dz, cost::BIGINT AS cost FROM b4"""
 
 
 def motion_residuals(s, d):
@@ -599,9 +669,12 @@ def motion_residuals(s, d):
 _found["motion_residuals"] = motion_residuals, f"WITH {scenes.SQL[1:]} SELECT {BR}, vi::BIGINT AS vi, CASE WHEN frame = 0 THEN r ELSE 0 END::BIGINT AS dr, CASE WHEN frame = 0 THEN g ELSE 0 END::BIGINT AS dg, CASE WHEN frame = 0 THEN b ELSE 0 END::BIGINT AS db FROM mb"
 
 
-@query("SELECT 'V' AS scene, f AS frame, coalesce(max_by(m, k) FILTER (k <= f), min_by(m, k))::BIGINT AS model FROM generate_series(0, 6) AS t(f), (VALUES (2, 10), (5, 11), (6, 12)) AS e(k, m) GROUP BY f")
+@query("""WITH e AS (SELECT 'V' || o_custkey % 50 AS scene, o_orderkey % 97 AS k, min(o_orderkey) AS m FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL), f AS (SELECT scene, unnest(generate_series(0, max(k))) AS frame FROM e GROUP BY scene)
+  SELECT scene, frame, coalesce(max_by(m, k) FILTER (k <= frame), min_by(m, k))::BIGINT AS model FROM f JOIN e USING (scene) GROUP BY scene, frame""")
 def model_fill(s, d):
-    return whole(frames.fill_frames(s.createDataFrame([("V", 2, 10), ("V", 5, 11), ("V", 6, 12)], "scene string, frame int, model int")))
+    k = F.col("o_orderkey")
+    rows = table(s, d, "orders").where(k % 5 == 0).groupBy(F.concat(F.lit("V"), F.col("o_custkey") % 50).alias("scene"), (k % 97).cast("int").alias("frame"))
+    return whole(frames.fill_frames(rows.agg(F.min(k).alias("model"))))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey WHEN o_orderkey % 3 = 1 THEN 0 ELSE o_orderkey END AS frame FROM orders")
@@ -626,10 +699,10 @@ def brick_checksums(s, d):
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT 'joined' AS scene, frame::BIGINT AS frame, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {RGB} FROM d UNION ALL SELECT 'joined', 8 + frame::BIGINT, x, y, z, r, g, b FROM m UNION ALL SELECT 'joined', 16 + frame::BIGINT, x, y, z, r, g, b FROM d")
+@query(f"SELECT 'joined' AS scene, frame::BIGINT AS frame, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {RGB} FROM d UNION ALL SELECT 'joined', (SELECT n FROM dn) + frame::BIGINT, x, y, z, r, g, b FROM m UNION ALL SELECT 'joined', (SELECT n FROM dn) + (SELECT n FROM mn) + frame::BIGINT, x, y, z, r, g, b FROM d")
 def stream_concat(s, d):
     one, two = scenes.dense(s, d), scenes.moving(s, d)
-    return whole(frames.concat([one, two, one]).select(*scenes.VOXEL))
+    return whole(frames.concat([one, two, one], counts=[scenes.dense_frames(s, d), scenes.moving_frames(s, d), scenes.dense_frames(s, d)]).select(*scenes.VOXEL))
 
 
 @query(f"SELECT {VX}, {RGB}, (frame // 3)::BIGINT AS part, (frame % 3)::BIGINT AS part_frame FROM d")
@@ -678,6 +751,27 @@ _primitive("box_level_set", lambda: volumes.box_distance((10, 8, 6)), "sqrt(pow(
 _primitive("octahedron_level_set", lambda: volumes.octahedron_distance(16.0), "(abs(x) + abs(y) + abs(z) - 8.0)::DOUBLE * 0.57735027::DOUBLE", "level_set")
 
 
+TORUS = "sqrt(pow(sqrt(x * x + z * z) - 8, 2) + y * y) - 3"
+BOXED = "sqrt(pow(greatest(abs(x) - 5.0, 0), 2) + pow(greatest(abs(y) - 4.0, 0), 2) + pow(greatest(abs(z) - 3.0, 0), 2)) + least(greatest(abs(x) - 5.0, abs(y) - 4.0, abs(z) - 3.0), 0)"
+_primitive("torus_fog", lambda: volumes.torus_distance(8.0, 3.0), TORUS, "fog")
+_primitive("box_fog", lambda: volumes.box_distance((10, 8, 6)), BOXED, "fog")
+_primitive("octahedron_fog", lambda: volumes.octahedron_distance(16.0), "(abs(x) + abs(y) + abs(z) - 8.0)::DOUBLE * 0.57735027::DOUBLE", "fog")
+
+
+def _surface_points(name: str, distance, sql: str):
+    def f(s, d):
+        cells = volumes.level_set(volumes.grid(s, BOX), distance(), 1.0)
+        points = volumes.scatter(cells.select("x", "y", "z"), 3).withColumns({"scene": F.lit("P"), "frame": F.lit(0)})
+        return whole(volumes.points_by(points, "voxel").drop("scene", "frame"))
+
+    f.__name__ = name
+    _found[name] = f, f"SELECT x AS kx, y AS ky, z AS kz, 3::BIGINT AS n_points FROM ({CUBE}) WHERE abs({sql}) < 1"
+
+
+_surface_points("sphere_points", lambda: volumes.sphere_distance(8.0), "sqrt(x * x + y * y + z * z) - 8")
+_surface_points("box_points", lambda: volumes.box_distance((10, 8, 6)), BOXED)
+
+
 def _frame_sql() -> str:
     p = {a: f"(abs({a}) - {h})" for a, h in zip("xyz", (6.0, 5.0, 4.0), strict=True)}
     q = {a: f"(abs({p[a]} + 1) - 1)" for a in "xyz"}
@@ -758,9 +852,9 @@ def dense_array_frames(s, d):
     return whole(arrays.dense_cells(v.withColumns(share).select("scene", "frame", "x", "y", "z", "cr", "cg", "cb", "ca")))
 
 
-@query(f"SELECT {VX}, {RGB} FROM d WHERE frame = 0")
+@query(f"SELECT {VX}, {RGB} FROM d")
 def flat_array_frames(s, d):
-    v = scenes.dense(s, d).where("frame = 0")
+    v = scenes.dense(s, d)
     cell = F.struct(*((F.col(c) + 0.25) / 255.0 for c in "rgb"), F.lit(1.0))
     listed = v.select("scene", "frame", (F.col("x") + 16 * F.col("y") + 256 * F.col("z")).alias("i"), cell.cast("struct<r:double,g:double,b:double,a:double>").alias("c"))
     none = F.struct(*(F.lit(0.0).alias(c) for c in "rgba"))

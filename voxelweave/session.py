@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -42,9 +43,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a temporary one of this application where that is unset."""
+    """The folder that all machines share: spark.checkpoint.dir, or a temporary one of this application where that is unset and the master is this machine."""
     root, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if app not in _own_roots:
             _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(_own_roots[app])

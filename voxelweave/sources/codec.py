@@ -287,12 +287,15 @@ def frame_of(x: np.ndarray, y: np.ndarray, z: np.ndarray, rgb: np.ndarray) -> Fr
     place = np.stack((x, y, z), axis=1)
     vi = (place % SIDE) @ (1, SIDE, SIDE * SIDE)
     keys, inverse = np.unique(place // SIDE, axis=0, return_inverse=True)
-    frame: Frame = {tuple(k): (np.zeros(CELLS, bool), np.zeros((CELLS, 3), np.uint8)) for k in keys.tolist()}
-    for k, key in enumerate(keys.tolist()):
-        own = inverse.reshape(-1) == k
-        frame[tuple(key)][0][vi[own]] = True
-        frame[tuple(key)][1][vi[own]] = rgb[own]
-    return frame
+    inverse = inverse.reshape(-1)
+    filled, colour = np.zeros((len(keys), CELLS), bool), np.zeros((len(keys), CELLS, 3), np.uint8)
+    filled[inverse, vi] = True
+    # of equal places the last: a stable sort, and each run's end
+    order = np.argsort(inverse * CELLS + vi, kind="stable")
+    at = (inverse * CELLS + vi)[order]
+    last = order[np.append(np.flatnonzero(np.diff(at)), len(at) - 1)] if len(at) else order
+    colour[inverse[last], vi[last]] = rgb[last]
+    return {tuple(k): (filled[i], colour[i]) for i, k in enumerate(keys.tolist())}
 
 
 def voxels_of(frame: Frame) -> Iterator[np.ndarray]:
