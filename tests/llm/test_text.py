@@ -398,6 +398,33 @@ def test_op9_rows(make, spark):
     assert language_id.predict(make([], schema), model).collect() == []
 
 
+def test_fit_against_counting_by_hand(make):
+    import unicodedata
+    from collections import Counter
+
+    import numpy as np
+
+    rows = [(1, "The cat. the CAT's 12 cats!", "en"), (2, "Café crème, café", "fr"), (3, "a\u0301 b cat", "fr"), (4, None, "en"), (5, "x", None), (6, "", "de")]
+    model = language_id.fit(make(rows * 2, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "fr"]
+    counted = {x: [Counter() for _ in range(language_id.LONGEST + 1)] for x in model.langs}
+    for _, text, lang in rows * 2:
+        if lang in counted and text:
+            words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()
+            for w in words:
+                counted[lang][0][w] += 1
+                for n in range(1, language_id.LONGEST + 1):
+                    padded = w if n == 1 else f"<{w}>"
+                    counted[lang][n].update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    for n in range(language_id.LONGEST + 1):
+        known = set(counted["en"][n]) | set(counted["fr"][n])
+        assert set(model.index[n]) == known
+        for k, lang in enumerate(model.langs):
+            smooth = {g: counted[lang][n][g] + language_id.SMOOTHING for g in known}
+            for g in known:
+                assert np.isclose(model.logs[n][model.index[n][g], k], np.log(smooth[g] / sum(smooth.values()))), (n, g)
+
+
 def test_fit_is_bounded(make):
     rows = [(i, "word" + "abcdefghij"[i % 10] + "abcdefghij"[i // 10 % 10] + "abcd"[i // 100], "en") for i in range(400)]
     model = language_id.fit(make(rows, "doc_id long, text string, lang string"), per_language=40)

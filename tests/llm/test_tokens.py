@@ -41,6 +41,13 @@ def test_cache_that_overflows(texts):
     assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(len(texts))] == [word_ids(t) for t in texts]
 
 
+def test_a_worker_lets_go_of_another_operators_caches():
+    one = word_tokens.load(tokenizer_file(WORD_FILE))
+    assert word_tokens.load(tokenizer_file(WORD_FILE)) is one
+    trie_counts.load(tokenizer_file(PIECE_FILE))
+    assert word_tokens.load(tokenizer_file(WORD_FILE)) is not one
+
+
 def test_piece_bpe(texts, pieces):
     bpe = piece_bpe.load(tokenizer_file(PIECE_FILE))
     ids, offsets = bpe.encode(pa.array(texts, pa.string()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -83,13 +84,24 @@ def pairs_in_runs(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most
         yield order[i], order[j]
 
 
+_holds: list = ["", None]
+
+
+def work_on(name: str, let_go: Callable[[], None] | None = None) -> None:
+    """Says what operator a Python worker works on now; what it holds for another one, whose tasks it has had before, is let go."""
+    if _holds[0] != name and _holds[1]:
+        _holds[1]()
+        gc.collect()
+    _holds[:] = name, let_go
+
+
 class PieceCache:
     """Ids of distinct strings as packed bytes. It is emptied when it holds `room` bytes, so memory is bounded; ids never change by that."""
 
     #: Bytes that an entry takes besides its string and ids, about.
     ENTRY = 200
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], width: int, room: int = 32 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], width: int, room: int = 96 << 20):
         self.encode, self.width, self.room, self.known, self.held = encode, width, room, {"": b""}, 0
 
     def ids_of(self, strings: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_rows, text_slices
+from .common import split_rows, text_slices, work_on
 
 LONGEST, CERTAIN, SMOOTHING, PER_LANGUAGE = 4, 30, 0.5, 2000
 UNDETERMINED = "und"
@@ -50,6 +50,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """lang, n (0 for words), gram and its count over docs(lang, text); summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work_on("language_id")
         held: dict[str, Counter] = {}
         taken = 0
 
@@ -101,6 +102,10 @@ class Model:
         self.cache: dict[str, np.ndarray] = {}
         self.held = 0
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.held = 0
+
     def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             index = self.index[n]
@@ -169,6 +174,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work_on("language_id", shared.value.forget)
         for batch in batches:
             for a, b in text_slices(batch.column(text_at), SLICE):
                 part = batch.slice(a, b - a)

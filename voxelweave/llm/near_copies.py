@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pairs_in_runs, runs_of, spread, text_slices
+from .common import materialise, pairs_in_runs, runs_of, spread, text_slices, work_on
 from .components import components
 from .simhash import PLANS, mixed, plan_soft_keys, soft_keys, votes
 
@@ -65,6 +65,7 @@ def node(hashes: np.ndarray) -> int:
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    work_on("near_copies")
     for batch in batches:
         for a, b in text_slices(batch.column(batch.num_columns - 1)):
             part = batch.slice(a, b - a)

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import PieceCache, split_rows, text_slices
+from .common import PieceCache, split_rows, text_slices, work_on
 
 MARK = "▁"
 NONE = np.int64(1) << 60
@@ -269,10 +269,15 @@ def ordered(done: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
 
 
 @functools.cache
-def load(path: str) -> PieceBpe:
+def loaded(path: str) -> PieceBpe:
     return PieceBpe(path)
 
 
+def load(path: str) -> PieceBpe:
+    work_on("piece_bpe", loaded.cache_clear)
+    return loaded(path)
+
+
 def encode_decode(docs: DataFrame, model: str, fields: str = "digest") -> DataFrame:
     """Per document its ids and the text decoded from them; fields="digest" gives their count and SHA-256 instead."""
     real = fields != "digest"

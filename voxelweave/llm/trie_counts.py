@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import split_rows, text_slices
+from .common import split_rows, text_slices, work_on
 
 MARK = "▁"
 UNKNOWN = -20_000_000
@@ -88,10 +88,15 @@ class Trie:
 
 
 @functools.cache
-def load(model: str) -> Trie:
+def loaded(model: str) -> Trie:
     return Trie(piece_scores(model))
 
 
+def load(model: str) -> Trie:
+    work_on("trie_counts", loaded.cache_clear)
+    return loaded(model)
+
+
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, words and unigram tokens of every document."""
 

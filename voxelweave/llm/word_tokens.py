@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import PieceCache, split_rows
+from .common import PieceCache, split_rows, work_on
 
 #: The pre-tokeniser's pattern for lower-case Latin-1 text.
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -75,10 +75,15 @@ class WordTokens:
 
 
 @functools.cache
-def load(path: str) -> WordTokens:
+def loaded(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+def load(path: str) -> WordTokens:
+    work_on("word_tokens", loaded.cache_clear)
+    return loaded(path)
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> Iterator[np.ndarray]:
     """Each text's ids and then `end`, as little-endian unsigned 32-bit integers."""
     tail = np.array([end], dtype="<u4")
