@@ -1,4 +1,9 @@
-"""A corpus pipeline of the training-data operators. Each stage's result is written and read again as the next one's documents."""
+"""A corpus pipeline of the training-data operators. Each stage's result is written and read again as the next one's documents.
+
+Cases, for all stages: an empty table gives an empty one; columns besides those of documents are ignored, whatever their names. Null and empty texts, and
+texts without a letter, go in the first stage, and so does a text whose best language has a share of less than LEAST_SHARE; one of just that share stays.
+A document without a doc_id stays in every stage; of repeated rows one stays; of documents that are alike the one of the least doc_id; very long texts are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each group of near-copies: five-word shingles, Jaccard similarity of at least 0.8."""
+    """Keeps the document of the least doc_id of each group of near-copies: SimHash and Golay keys of five-word shingles, Jaccard similarity of at least 0.8."""
     return near_copies.keep_one(docs.select(*COLUMNS))
 
 
