@@ -135,7 +135,7 @@ def test_vox(spark, tmp_path):
 def test_grid_files(spark, tmp_path):
     at = np.array([[0, 0, 0], [9, 1, 2], [-3, 5, 6]])
     values = np.array([[0.5, 0, 1], [0.1, 0.2, 0.3], [1, 1, 1]], np.float32)
-    raw = nvdb.file_bytes("colour", nvdb.leaf_image(at, values), 3)
+    raw = nvdb.file_bytes("colour", nvdb.grid_image(at, values), 3)
     (tmp_path / "g.nvdb").write_bytes(raw)
     files = voxfile.files(spark, str(tmp_path / "g.nvdb"))
     assert nvdb.grid_list(files).first()["grid"] == "colour"
@@ -149,6 +149,64 @@ def test_grid_files(spark, tmp_path):
     assert by_name.count() == 2
 
 
+def look_up(image, at):
+    """The value at a cell, from the root down by each node's table; None where it isn't active."""
+    x, y, z = at
+    root = nvdb.GRID_BYTES + struct.unpack_from("<4Q", image, nvdb.GRID_BYTES)[3]
+    (n,) = struct.unpack_from("<I", image, root + 24)
+    key = (x & 0xFFFFFFFF) >> 12 << 42 | (y & 0xFFFFFFFF) >> 12 << 21 | (z & 0xFFFFFFFF) >> 12
+    found = {k: root + c for k, c in (struct.unpack_from("<Qq", image, root + 96 + 32 * i) for i in range(n))}
+    node = found.get(key)
+    for side, log2, table in ((7, 5, 8256), (3, 4, 1088)):
+        if node is None:
+            return None
+        a, b, c = ((v >> side) & (1 << log2) - 1 for v in at)
+        place = a << 2 * log2 | b << log2 | c
+        mask = node + 32 + (1 << 3 * log2 - 3)
+        node = node + struct.unpack_from("<q", image, node + table + 16 * place)[0] if image[mask + place // 8] >> place % 8 & 1 else None
+    if node is None:
+        return None
+    place = (x & 7) << 6 | (y & 7) << 3 | z & 7
+    return struct.unpack_from("<3f", image, node + 128 + 12 * place) if image[node + 16 + place // 8] >> place % 8 & 1 else None
+
+
+def test_grid_tree_is_walked_from_the_root():
+    rng = np.random.default_rng(4)
+    at = np.unique(np.concatenate((rng.integers(-20, 20, (300, 3)), rng.integers(-9000, 9000, (20, 3)))), axis=0)
+    values = rng.random((len(at), 3)).astype(np.float32)
+    image = nvdb.grid_image(at, values)
+    assert len(image) % 32 == 0 and nvdb.faults(image) == []
+    for p, v in zip(at.tolist(), values.tolist(), strict=True):
+        assert look_up(image, p) == tuple(v)
+    filled = set(map(tuple, at.tolist()))
+    assert all(look_up(image, p) is None for p in rng.integers(-20, 20, (200, 3)).tolist() if tuple(p) not in filled)
+    got, v = nvdb.active_cells(image)
+    assert dict(zip(map(tuple, got.tolist()), map(tuple, v.tolist()), strict=True)) == dict(zip(map(tuple, at.tolist()), map(tuple, values.tolist()), strict=True))
+    assert nvdb.faults(image[:-32]) != [] and nvdb.faults(b"") == ["no grid"]
+    bad = bytearray(image)
+    bad[nvdb.GRID_BYTES + 56] ^= 1
+    assert nvdb.faults(bytes(bad)) == ["the active cells aren't as many as the tree says"]
+    empty = nvdb.grid_image(np.zeros((0, 3)), np.zeros((0, 3)))
+    assert nvdb.faults(empty) == [] and len(nvdb.active_cells(empty)[0]) == 0
+
+
+def test_active_tiles_and_zip(spark, tmp_path):
+    at, values = np.array([[1, 2, 3], [200, 1, 1]]), np.array([[0.5, 0.5, 0.5], [1, 1, 1]], np.float32)
+    image = bytearray(nvdb.grid_image(at, values))
+    lower = nvdb.GRID_BYTES + struct.unpack_from("<4Q", image, nvdb.GRID_BYTES)[1]
+    place = 0 << 8 | 0 << 4 | 1  # the leaf's place at (0, 0, 8) as an active tile
+    image[lower + 32 + place // 8] |= 1 << place % 8
+    struct.pack_into("<3f", image, lower + 1088 + 16 * place, 1.0, 0.0, 0.0)
+    assert nvdb.faults(bytes(image)) == ["the active cells aren't as many as the tree says"]
+    struct.pack_into("<Q", image, nvdb.GRID_BYTES + 56, 2 + 512)
+    assert nvdb.faults(bytes(image)) == []
+    (tmp_path / "t.nvdb").write_bytes(nvdb.file_bytes("colour", bytes(image), 514, codec=nvdb.ZIP))
+    files = voxfile.files(spark, str(tmp_path / "t.nvdb"))
+    got = rows(nvdb.load(files, ((0, 0, 0), (255, 3, 12))))
+    assert got == sorted([(0, 1, 2, 3, 128, 128, 128), (0, 200, 1, 1, 255, 255, 255), *((0, x, y, z, 255, 0, 0) for x in range(8) for y in range(4) for z in range(8, 13))])
+    assert nvdb.cells(files).count() == 514
+
+
 def test_blosc_chunks():
     import pyarrow as pa
 

@@ -845,6 +845,13 @@ def grid_files(s, d):
     return whole(rows.withColumn("frame", F.regexp_extract("scene", r"frame_(\d+)", 1).cast("int")).withColumn("scene", F.lit("M")))
 
 
+@query("SELECT 'frame_' || frame || '.nvdb' AS scene, 'volume' AS grid, count(*) AS voxels, '' AS faults FROM d GROUP BY frame")
+def grid_checks(s, d):
+    folder = shared_folder(s, "checked-grids")
+    nvdb.save(scenes.dense(s, d), folder).collect()  # one row a frame
+    return nvdb.checked(s.read.format("binaryFile").load(f"{folder}/D"))
+
+
 @query(f"SELECT {VX}, {RGB} FROM d WHERE r + g > 100")
 def dense_array_frames(s, d):
     v = scenes.dense(s, d)
