@@ -58,6 +58,23 @@ def test_moving_dot(spark, tmp_path):
         enc.encode_numpy_frame_byte(dot(0))
 
 
+def test_files_by_address(spark, tmp_path):
+    out = f"file://{tmp_path}/by/address.voxels"
+    e = api.VoxelEncoder(spark, 16, 16, 16, 4.0, output_path=out)
+    for k in range(6):
+        a = np.zeros((16, 16, 16, 4), np.uint8)
+        a[k, 1, 2] = 255
+        e.encode_numpy_frame(a)
+    assert e.finish() == out
+    assert (tmp_path / "by/address.voxels").exists()
+    assert api.get_metadata(spark, out)["frameCount"] == 6
+    assert api.split(spark, out, 1.0, f"file://{tmp_path}/parts") == 2
+    parts = [f"file://{tmp_path}/parts/split_{k:04d}.voxels" for k in range(2)]
+    api.concat(spark, parts, f"file://{tmp_path}/back/whole.voxels")
+    assert rows(container.read(spark, f"file://{tmp_path}/back/whole.voxels")) == rows(container.read(spark, out))
+    assert api.named("s3://bucket/a/b.c.voxels") == ("s3://bucket/a", "b.c", ".voxels") and api.named("x") == (".", "x", "") and api.named("/x.y") == ("/", "x", ".y")
+
+
 def test_encoder_checks(spark, tmp_path):
     for dims in ((0, 8, 8), (8, 9, 8), (8, 8, -8)):
         with pytest.raises(ValueError):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +13,13 @@ from .sources import arrays, container, nvdb, voxfile
 Box = tuple[tuple[int, int, int], tuple[int, int, int]]
 
 
+def named(path: str) -> tuple[str, str, str]:
+    """The folder, name and suffix of a path or an address in a store."""
+    folder, _, name = str(path).rpartition("/")
+    stem, dot, end = name.rpartition(".")
+    return folder or ("/" if str(path).startswith("/") else "."), stem or name, dot + end if stem else ""
+
+
 class VoxelEncoder:
     """Frames are added in order as lazy relations; finish() encodes them, a group of pictures a task, and writes the file."""
 
@@ -33,7 +38,7 @@ class VoxelEncoder:
         from pyspark.sql import functions as F
 
         part = visible(voxels) if remove_nonvisible else voxels
-        self.parts.append(part.select(F.lit(Path(self.path).stem).alias("scene"), (F.col("frame") + self.count).cast("int").alias("frame"), "x", "y", "z", "r", "g", "b"))
+        self.parts.append(part.select(F.lit(named(self.path)[1]).alias("scene"), (F.col("frame") + self.count).cast("int").alias("frame"), "x", "y", "z", "r", "g", "b"))
         self.count += n
 
     def encode_numpy_frame(self, array: np.ndarray, axes: tuple[str, str, str] = arrays.AXES, remove_nonvisible: bool = False) -> None:
@@ -74,12 +79,12 @@ class VoxelEncoder:
         voxels = self.parts[0]
         for p in self.parts[1:]:
             voxels = voxels.unionByName(p)
-        path = Path(self.path)
+        folder, stem, suffix = named(self.path)
         if voxels.isEmpty():
             from pyspark.sql import functions as F
 
-            voxels = self.spark.range(1).select(F.lit(path.stem).alias("scene"), F.lit(self.count - 1).alias("frame"), *(F.lit(None).cast("int").alias(c) for c in "xyzrgb"))
-        container.write(voxels, str(path.parent), self.dims, self.framerate, self.params, self.count, path.suffix)
+            voxels = self.spark.range(1).select(F.lit(stem).alias("scene"), F.lit(self.count - 1).alias("frame"), *(F.lit(None).cast("int").alias(c) for c in "xyzrgb"))
+        container.write(voxels, folder, self.dims, self.framerate, self.params, self.count, suffix)
         self.open = False
         return self.path
 
@@ -104,9 +109,9 @@ def get_metadata(spark: SparkSession, path: str) -> dict:
 def _rewritten(spark: SparkSession, voxels: DataFrame, out: str, meta: dict, frames: int, motion: bool | None = None) -> None:
     from pyspark.sql import functions as F
 
-    p, path = meta["encodingParams"], Path(out)
+    p, (folder, stem, suffix) = meta["encodingParams"], named(out)
     params = container._stored(p["gopSize"], p["maxBrickGroupSize"], p["motionVectors"] if motion is None else motion)
-    container.write(voxels.withColumn("scene", F.lit(path.stem)), str(path.parent), (meta["width"], meta["height"], meta["depth"]), meta["framerate"], params, frames, path.suffix)
+    container.write(voxels.withColumn("scene", F.lit(stem)), folder, (meta["width"], meta["height"], meta["depth"]), meta["framerate"], params, frames, suffix)
 
 
 def concat(spark: SparkSession, paths: list[str], out: str) -> None:
@@ -138,7 +143,7 @@ def split(spark: SparkSession, path: str, seconds: float, folder: str) -> int:
     parts = -(-meta["frameCount"] // size)
     for k in range(parts):
         own = voxels.where((F.col("part") == k) & F.col("frame").between(k * size, (k + 1) * size - 1)).select("scene", F.col("part_frame").cast("int").alias("frame"), "x", "y", "z", "r", "g", "b")
-        _rewritten(spark, own, f"{folder}/split_{k:04d}{Path(path).suffix}", meta, min(size, meta["frameCount"] - k * size))
+        _rewritten(spark, own, f"{folder}/split_{k:04d}{named(path)[2]}", meta, min(size, meta["frameCount"] - k * size))
     return parts
 
 
