@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.address import addressed, bit
+from ..functions.address import BRICK, addressed, bit
+from ..functions.vectors import dequantise, quantise
 from .bricks import CELL, FRAME
 
 Box = tuple[tuple[int, int, int], tuple[int, int, int]]
@@ -164,7 +163,28 @@ def scatter(cells: DataFrame, per_cell: int, seed: int = 0) -> DataFrame:
     return rows.withColumns(place)
 
 
-def dither(n: int = 512, seed: int = 0) -> list[float]:
-    """Offsets in 0..1 for the cells of a brick."""
-    rng = random.Random(seed)
-    return [rng.random() for _ in range(n)]
+def dither(place: Column) -> Column:
+    """An offset in 0..1 of each cell of a brick, the same at each run."""
+    return F.pmod(place * 40503, F.lit(65536)) / 65536.0
+
+
+def quantised(voxels: DataFrame, value: Column, bits: int, dithered: bool = False) -> DataFrame:
+    """Each voxel's code of so many bits between its brick's least and greatest value, and what the code is off."""
+    brick = Window.partitionBy(*FRAME, *BRICK)
+    rows = addressed(voxels).select(*FRAME, *CELL, *BRICK, "vi", value.cast("double").alias("value"))
+    rows = rows.withColumns({"low": F.min("value").over(brick), "high": F.max("value").over(brick)})
+    rows = rows.withColumn("code", quantise(F.col("value"), F.col("low"), F.col("high"), bits, dither(F.col("vi")) if dithered else 0.5))
+    return rows.withColumn("error", F.abs(dequantise(F.col("code"), F.col("low"), F.col("high"), bits) - F.col("value")))
+
+
+def fitted(voxels: DataFrame, value: Column, tolerance: float, widths: tuple[int, ...] = (1, 2, 4, 8, 16), dithered: bool = False) -> DataFrame:
+    """Codes of the fewest bits of each brick with which none of its values is off by more than the tolerance; the most bits where none will do."""
+    brick = Window.partitionBy(*FRAME, *BRICK)
+    rows = addressed(voxels).select(*FRAME, *CELL, *BRICK, "vi", value.cast("double").alias("value"))
+    rows = rows.withColumns({"low": F.min("value").over(brick), "high": F.max("value").over(brick)})
+    low, high = F.col("low"), F.col("high")
+    rows = rows.withColumns({f"c{n}": quantise(F.col("value"), low, high, n, dither(F.col("vi")) if dithered else 0.5) for n in widths})
+    rows = rows.withColumns({f"e{n}": F.max(F.abs(dequantise(F.col(f"c{n}"), low, high, n) - F.col("value"))).over(brick) for n in widths})
+    bits = F.coalesce(*(F.when(F.col(f"e{n}") <= tolerance, n) for n in widths), F.lit(widths[-1]))
+    rows = rows.withColumn("bits", bits)
+    return rows.select(*FRAME, *CELL, "bits", F.coalesce(*(F.when(F.col("bits") == n, F.col(f"c{n}")) for n in widths)).alias("code"))

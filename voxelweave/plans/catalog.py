@@ -308,6 +308,26 @@ def quantised_blocks(s, d):
     return whole(v.select("scene", "frame", "x", "y", "z", V.quantise(F.col("r"), F.col("lo"), F.col("hi"), 4).alias("code")))
 
 
+CODED = "q AS (SELECT *, r / 255.0::DOUBLE AS v FROM db), lh AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM q WINDOW w AS (PARTITION BY scene, frame, bx, by, bz)), cd AS (SELECT *, least(top, floor((v - lo) / nullif(hi - lo, 0) * top + {dither})) AS code FROM lh, (VALUES {widths}) AS b(bits, top)), er AS (SELECT *, abs(lo + code * (hi - lo) / top - v) AS error FROM cd)"
+
+
+def dithered_blocks(s, d):
+    got = volumes.quantised(scenes.dense(s, d), F.col("r") / 255.0, 8, True)
+    return whole(got.select("scene", "frame", "x", "y", "z", "code", F.round("error", 9).alias("error")))
+
+
+_found["dithered_blocks"] = dithered_blocks, f"WITH {scenes.SQL[1:]}, {CODED.format(dither='vi * 40503 % 65536 / 65536.0::DOUBLE', widths='(8, 255.0::DOUBLE)')} SELECT {VX}, code::BIGINT AS code, round(error, 9) AS error FROM er"
+
+
+def fitted_blocks(s, d):
+    return whole(volumes.fitted(scenes.dense(s, d), F.col("r") / 255.0, 0.04))
+
+
+_found["fitted_blocks"] = fitted_blocks, f"""WITH {scenes.SQL[1:]}, {CODED.format(dither='0.5', widths='(1, 1.0::DOUBLE), (2, 3.0), (4, 15.0), (8, 255.0), (16, 65535.0)')},
+  ok AS (SELECT frame, bx, by, bz, coalesce(min(bits) FILTER (worst <= 0.04), 16) AS bits FROM (SELECT frame, bx, by, bz, bits, max(error) AS worst FROM er GROUP BY ALL) GROUP BY frame, bx, by, bz)
+  SELECT scene, er.frame::BIGINT AS frame, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, er.bits::BIGINT AS bits, code::BIGINT AS code FROM er JOIN ok ON ok.frame = er.frame AND ok.bx = er.bx AND ok.by = er.by AND ok.bz = er.bz AND ok.bits = er.bits"""
+
+
 # --- predicates and neighbours ---------------------------------------------------------------------------------------
 
 
