@@ -99,3 +99,30 @@ def test_near_dedup_of_crowds_chains_and_repeated_ids(spark, roots, monkeypatch)
     got = [tuple(r)[:2] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([*rows, *rows[:3], *twice, twice[0], *nameless], DOCS), "").collect()]
     expected = [r[:2] for r in rows if r[0] in set(least.values())]
     assert sorted(got, key=repr) == sorted([*expected, *(r[:2] for r in twice), *(r[:2] for r in nameless)], key=repr)
+
+
+def test_language_stage_at_the_least_share(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from voxelweave.llm import language_id
+
+    shares = {1: 0.5, 2: 0.4999, 3: 1.0, 4: 0.9}
+    monkeypatch.setattr(language_id, "fit", lambda docs: None)
+    monkeypatch.setattr(language_id, "predict", lambda docs, model: docs.withColumns({"lang_pred": F.when(F.col("doc_id") == 4, language_id.UNDETERMINED).otherwise("en"), "score": F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("doc_id").cast("int")]}))
+    docs = spark.createDataFrame([(i, "a text", "en", "s", 6) for i in shares], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 3]
+
+
+def test_join_by_weight_is_a_left_join(spark):
+    from voxelweave.llm.common import join_by_weight
+
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 40}" if i % 5 else None if i % 2 else "absent") for i in range(600)]
+    counts = {}
+    for _, k in rows:
+        if k not in (None, "absent"):
+            counts[k] = counts.get(k, 0) + 1
+    names = spark.createDataFrame([(k, n, f"name of {k}") for k, n in counts.items()], "tag string, n long, name string")
+    for most in (2, 10, 4096):
+        got = join_by_weight(spark.createDataFrame(rows, "id long, tag string"), names, "tag", "n", "id", most)
+        assert got.columns == ["id", "tag", "name"]
+        assert sorted(map(tuple, got.collect())) == sorted(((i, k, f"name of {k}" if k in counts else None) for i, k in rows), key=lambda r: r[0])
