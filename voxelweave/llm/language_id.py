@@ -28,7 +28,7 @@ from .common import split_rows, text_slices, work_on
 LONGEST, CERTAIN, SMOOTHING, PER_LANGUAGE = 4, 30, 0.5, 2000
 UNDETERMINED = "und"
 #: Distinct words, and bytes of text that they come from, that a task holds before it hands their counts on.
-HELD, HELD_BYTES = 400_000, 32 << 20
+HELD, HELD_BYTES = 250_000, 32 << 20
 #: Bytes of text that are looked at together.
 SLICE = 1 << 20
 #: Bytes of unseen words and their scores that a model keeps at hand, about.
@@ -56,12 +56,12 @@ def counts(docs: DataFrame) -> DataFrame:
 
         def given() -> Iterator[pa.RecordBatch]:
             for lang, words in held.items():
-                found: Counter = Counter({(0, w): c for w, c in words.items()})
+                found: Counter = Counter()
                 for w, c in words.items():
                     for n in range(1, LONGEST + 1):
                         for g in grams(w, n):
                             found[n, g] += c
-                for part in itertools.batched(found.items(), 100_000):
+                for part in itertools.batched(itertools.chain((((0, w), c) for w, c in words.items()), found.items()), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([k[0] for k, _ in part], pa.int32()), pa.array([k[1] for k, _ in part]), pa.array([c for _, c in part], pa.int64())], ["lang", "n", "gram", "c"])
             held.clear()
 
