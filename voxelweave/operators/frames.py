@@ -129,7 +129,8 @@ def residuals(voxels: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
         return rows.select(*FRAME, *BRICK, "vi", *(F.pmod(F.col(c) - F.col(f"p{c}"), F.lit(256)).alias(f"d{c}") for c in COLOUR))
     rows = addressed(voxels).join(vectors, [*FRAME, *BRICK], "left").fillna(0, ["dx", "dy", "dz"])
     before = voxels.select("scene", (F.col("frame") + 1).alias("frame"), *(F.col(a).alias(f"q{a}") for a in CELL), *(F.col(c).alias(f"p{c}") for c in COLOUR))
-    rows = rows.withColumns({f"q{a}": F.col(a) + F.col(f"d{a}") for a in CELL}).join(before, [*FRAME, "qx", "qy", "qz"], "left")
+    # by a merge: the frames before are as many as the voxels, whatever the planner takes them for
+    rows = rows.withColumns({f"q{a}": F.col(a) + F.col(f"d{a}") for a in CELL}).join(before.hint("merge"), [*FRAME, "qx", "qy", "qz"], "left")
     return rows.select(*FRAME, *BRICK, "vi", *(F.pmod(F.col(c) - F.coalesce(F.col(f"p{c}"), F.lit(0)), F.lit(256)).alias(f"d{c}") for c in COLOUR))
 
 

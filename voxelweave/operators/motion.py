@@ -33,7 +33,7 @@ def near_costs(voxels: DataFrame) -> DataFrame:
     now = voxels.select(*FRAME, *CELL, *COLOUR)
     sent = voxels.select("scene", (F.col("frame") + 1).alias("frame"), *CELL, *(F.col(c).alias(f"p{c}") for c in COLOUR), F.explode(steps).alias("d"))
     sent = sent.select(*FRAME, *((F.col(a) - F.col(f"d.d{a}")).alias(a) for a in CELL), *(f"d.{n}" for n in VECTOR), *(f"p{c}" for c in COLOUR))
-    rows = sent.join(now, [*FRAME, *CELL], "left")
+    rows = sent.join(now.hint("merge"), [*FRAME, *CELL], "left")
     both = F.col("r").isNotNull()
     apart = sum(F.abs(F.col(c) - F.col(f"p{c}")) for c in COLOUR)
     by = addressed(rows).groupBy(*FRAME, *BRICK, *VECTOR).agg(F.count("*").alias("n_before"), F.sum(both.cast("int")).alias("n_both"), F.sum(F.when(both, apart).otherwise(0)).alias("sad"))
