@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from voxelweave.operators import frames
-from voxelweave.plans import scenes
+from voxelweave.plans import catalog, scenes
+from voxelweave.sources import arrays
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,3 +21,14 @@ def test_frame_before_is_not_broadcast(spark):
     plan = frames.residuals(cells, vectors)._jdf.queryExecution().executedPlan().toString()
     assert [line for line in plan.splitlines() if "qx" in line and "SortMergeJoin" in line]
     assert not [line for line in plan.splitlines() if "qx" in line and "BroadcastHashJoin" in line]
+
+
+def test_flat_frames_are_filled_without_a_search_a_cell(spark):
+    plan = catalog.queries()["flat_array_frames"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "mapfromentries" not in plan
+
+
+def test_gaps_of_flat_frames_are_filled(spark):
+    cells = spark.createDataFrame([("S", 0, i, i + 10) for i in (3, 1, 7)] + [("S", 1, i, i) for i in range(8)] + [("S", 2, 0, 5)], "scene string, frame int, i int, c int")
+    got = {r["frame"]: r["colours"] for r in arrays.filled_arrays(cells, 8, F.lit(0)).collect()}
+    assert got == {0: [0, 11, 0, 13, 0, 0, 0, 17], 1: list(range(8)), 2: [5] + [0] * 7}

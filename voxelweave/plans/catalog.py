@@ -885,6 +885,4 @@ def flat_array_frames(s, d):
     cell = F.struct(*((F.col(c) + 0.25) / 255.0 for c in "rgb"), F.lit(1.0))
     listed = v.select("scene", "frame", (F.col("x") + 16 * F.col("y") + 256 * F.col("z")).alias("i"), cell.cast("struct<r:double,g:double,b:double,a:double>").alias("c"))
     none = F.struct(*(F.lit(0.0).alias(c) for c in "rgba"))
-    filled = listed.groupBy("scene", "frame").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))
-    frames_ = filled.select("scene", "frame", F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.coalesce(F.col("m")[i], none)).alias("colours"))
-    return whole(arrays.flat_arrays(frames_, (16, 16, 16)))
+    return whole(arrays.flat_arrays(arrays.filled_arrays(listed, 4096, none), (16, 16, 16)))

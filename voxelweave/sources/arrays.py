@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.address import quantise_truncated
@@ -46,3 +46,19 @@ def flat_arrays(frames: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
     rows = frames.select("scene", "frame", F.posexplode("colours").alias("i", "c")).where("c.a <> 0")
     at = {"x": F.col("i") % w, "y": F.floor(F.col("i") / w) % h, "z": F.floor(F.col("i") / (w * h))}
     return rows.select("scene", "frame", *(v.cast("int").alias(a) for a, v in at.items()), *(quantise_truncated(F.col(f"c.{c}")).alias(c) for c in "rgb"))
+
+
+def filled_arrays(cells: DataFrame, size: int, none: Column) -> DataFrame:
+    """frames(scene, frame, colours) of cells(scene, frame, i, c): an array of `size` places, `none` where no cell is.
+
+    The cells in order, with the gap before each and after the last filled in, so a frame takes time in proportion to its size.
+    """
+    by = cells.groupBy("scene", "frame").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("cells"))
+    before = F.concat(F.array(F.lit(-1)), F.transform("cells", lambda e: e["i"].cast("int")))
+
+    def piece(last: Column, e: Column) -> Column:
+        # the list of places before is one longer: its last has no cell, but the gap after it
+        gap = F.array_repeat(none, F.coalesce(e["i"].cast("int"), F.lit(size)) - last - 1)
+        return F.when(e.isNull(), gap).otherwise(F.concat(gap, F.array(e["c"])))
+
+    return by.select("scene", "frame", F.flatten(F.zip_with(before, F.col("cells"), piece)).alias("colours"))
