@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxelweave.operators import frames
+from voxelweave.operators import blocks, frames, neighbours
 from voxelweave.plans import catalog, scenes
 from voxelweave.sources import arrays
 
@@ -32,3 +32,23 @@ def test_gaps_of_flat_frames_are_filled(spark):
     cells = spark.createDataFrame([("S", 0, i, i + 10) for i in (3, 1, 7)] + [("S", 1, i, i) for i in range(8)] + [("S", 2, 0, 5)], "scene string, frame int, i int, c int")
     got = {r["frame"]: r["colours"] for r in arrays.filled_arrays(cells, 8, F.lit(0)).collect()}
     assert got == {0: [0, 11, 0, 13, 0, 0, 0, 17], 1: list(range(8)), 2: [5] + [0] * 7}
+
+
+def test_stencils_do_not_multiply_the_rows_before_a_shuffle(spark):
+    """A voxel inside a block is sent once for 19 cells."""
+    cells = spark.range(4096).select(F.lit("S").alias("scene"), F.lit(1).alias("frame"), *(((F.col("id") / 16**k).cast("int") % 16 + 8).alias(a) for k, a in enumerate("xyz")), (F.col("id") % 251).alias("r"))
+    assert blocks.haloed(cells, (0, 1, 1, 1)).count() == 4096
+    for f in (neighbours.curvature, neighbours.weno_norms, neighbours.gradients, neighbours.closest_points):
+        plan = f(cells, F.col("r"))._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_stencils_look_across_blocks_and_take_odd_values(spark):
+    at = [("S", 7, 31, 0, -1, 1.0), ("S", 7, 32, 0, -1, 2.0), ("S", 8, 32, 0, -1, 3.0), ("S", 7, 33, 0, -1, None), ("S", 7, 32, -1, -1, float("nan")), ("S", 7, 32, 0, -1, 0.5), ("T", 7, 31, 0, -1, 9.0)]
+    voxels = spark.createDataFrame(at, "scene string, frame int, x int, y int, z int, v double")
+    got = neighbours.gathered(voxels, F.col("v"), {"xm": (-1, 0, 0), "x40": (-40, 0, 0), "xp": (1, 0, 0), "ym": (0, -1, 0)}, -1.0)
+    rows = {(r["scene"], r["frame"], r["x"], r["y"], r["z"]): [str(r[c]) for c in ("v", "xm", "x40", "xp", "ym")] for r in got.collect()}
+    assert rows == {
+        ("S", 7, 31, 0, -1): ["1.0", "-1.0", "-1.0", "2.0", "-1.0"], ("S", 7, 32, 0, -1): ["2.0", "1.0", "-1.0", "-1.0", "nan"], ("S", 8, 32, 0, -1): ["3.0", "-1.0", "-1.0", "-1.0", "-1.0"],
+        ("S", 7, 32, -1, -1): ["nan", "-1.0", "-1.0", "-1.0", "-1.0"], ("T", 7, 31, 0, -1): ["9.0", "-1.0", "-1.0", "-1.0", "-1.0"],
+    }

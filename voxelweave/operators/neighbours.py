@@ -1,14 +1,18 @@
 """Neighbourhoods of voxels: visibility, sampling, stencils, rays.
 
-A neighbour is another row. Visibility looks along each axis with a window; sampling and stencils give each voxel's value to the
-cells that need it and add up there, so a join of offsets with the whole relation isn't needed.
+A neighbour is another row. Visibility looks along each axis with a window; sampling gives each voxel's value to the cells that need
+it and adds up there, stencils look in blocks of cells with a halo, so a join of offsets with the whole relation isn't needed.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import blocks
 from .bricks import CELL, FRAME
 
 
@@ -57,13 +61,28 @@ def at_points(voxels: DataFrame, points: DataFrame, value: Column, order: int, b
 def gathered(voxels: DataFrame, value: Column, offsets: dict[str, tuple[int, int, int]], background: float = 0.0) -> DataFrame:
     """Each voxel's value `v`, and those at some offsets from it by name; the background where there is none.
 
-    Each voxel sends its value to the cells it is an offset of; cells without a voxel are dropped after the sum.
+    Values go to the blocks that need them, a block at a time looks them up in an array: neither the shuffle nor a task's memory grows with the offsets.
     """
     all_offsets = {"v": (0, 0, 0)} | offsets
-    sent = F.array(*(F.struct(*((F.col(a) - d).alias(a) for a, d in zip(CELL, o, strict=True)), F.lit(n).alias("name")) for n, o in all_offsets.items()))
-    rows = voxels.select(*FRAME, value.cast("double").alias("value"), F.explode(sent).alias("to")).select(*FRAME, "to.*", "value")
-    by = rows.groupBy(*FRAME, *CELL).agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in all_offsets))
-    return by.where("v is not null").fillna(background)
+    reach = (0, *(max(abs(o[k]) for o in all_offsets.values()) for k in range(3)))
+    rows = voxels.select(*FRAME, *((F.col(a) + 0).alias(a) for a in CELL), value.cast("double").alias("value")).where("value is not null and frame is not null")
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, T.DoubleType()) for n in all_offsets)])
+    own = blocks.core(reach)
+
+    def run(block: pa.Table) -> pa.Table:
+        origin, shape, at = blocks.placed(block, reach)
+        filled = blocks.filled_cells(at, shape)
+        values = np.full(filled.size, -np.inf)
+        np.maximum.at(values, at, block.column("value").to_numpy())
+        values = np.where(filled, values.reshape(shape), background)
+        here = [i + r for i, r in zip(np.nonzero(filled[own]), reach, strict=True)]
+        columns = {a: i + low for a, i, low in zip(blocks.AXES, here, origin, strict=True)}
+        for n, o in all_offsets.items():
+            columns[n] = values[here[0], here[1] + o[0], here[2] + o[1], here[3] + o[2]]
+        kept = [block.schema.field(c) for c in (*FRAME, *CELL)]
+        return blocks.listed(block, columns, pa.schema([*kept, *(pa.field(n, pa.float64()) for n in all_offsets)]))
+
+    return blocks.haloed(rows, reach).groupBy(*blocks.KEYS).applyInArrow(run, schema)
 
 
 FACES = {"xm": (-1, 0, 0), "xp": (1, 0, 0), "ym": (0, -1, 0), "yp": (0, 1, 0), "zm": (0, 0, -1), "zp": (0, 0, 1)}
