@@ -1,8 +1,9 @@
 """Steps whose size the planner has to see, or that have to stay in proportion to the voxels."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from voxelweave.operators import blocks, frames, neighbours
+from voxelweave.operators import blocks, frames, motion, neighbours
 from voxelweave.plans import catalog, scenes
 from voxelweave.sources import arrays
 
@@ -52,3 +53,37 @@ def test_stencils_look_across_blocks_and_take_odd_values(spark):
         ("S", 7, 31, 0, -1): ["1.0", "-1.0", "-1.0", "2.0", "-1.0"], ("S", 7, 32, 0, -1): ["2.0", "1.0", "-1.0", "-1.0", "nan"], ("S", 8, 32, 0, -1): ["3.0", "-1.0", "-1.0", "-1.0", "-1.0"],
         ("S", 7, 32, -1, -1): ["nan", "-1.0", "-1.0", "-1.0", "-1.0"], ("T", 7, 31, 0, -1): ["9.0", "-1.0", "-1.0", "-1.0", "-1.0"],
     }
+
+
+def test_near_motion_sends_a_voxel_once_a_block(spark):
+    """Voxels go to the blocks of their frame and of the next, not to a cell for each of 27 vectors."""
+    cells = spark.range(4096).select(F.lit("S").alias("scene"), F.lit(1).alias("frame"), *(((F.col("id") / 16**k).cast("int") % 16 + 8).alias(a) for k, a in enumerate("xyz")), *(F.lit(1).alias(c) for c in "rgb"))
+    assert blocks.haloed(cells, (1, 1, 1, 1), ahead=True).count() == 4096
+    assert blocks.haloed(cells.withColumn("frame", F.lit(7)), (1, 1, 1, 1), ahead=True).count() == 2 * 4096
+    plan = motion.near_costs(cells)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join [scene" not in plan.replace("BroadcastHashJoin [scene", "")
+
+
+def test_near_costs_across_blocks_and_gaps_of_frames(spark):
+    """Against the costs counted cell by cell, over block borders, negative cells, a missing frame and two scenes."""
+    random = np.random.default_rng(5)
+    cells = {(s, f, *(int(v) for v in random.integers(-10, 42, 3))): tuple(int(v) for v in random.integers(0, 256, 3)) for s in "ST" for f in (6, 7, 8, 10) for _ in range(400)}
+    cells |= {("S", f, 31 + f - 7, 8, 8): (9, f, 0) for f in (7, 8)}
+    voxels = spark.createDataFrame([(*k, *c) for k, c in cells.items()], "scene string, frame int, x int, y int, z int, r int, g int, b int")
+    want = {}
+    for (s, f, *p), c in cells.items():
+        if f > 6:
+            for d in motion.VECTORS:
+                b = tuple(v // 8 for v in p)
+                was = cells.get((s, f - 1, *(v + w for v, w in zip(p, d))))
+                want[s, f, *b, *d] = want.get((s, f, *b, *d), 0) + (768 if was is None else sum(abs(v - w) for v, w in zip(c, was)))
+    for (s, f, *p), _ in cells.items():
+        for d in motion.VECTORS:
+            q = tuple(v - w for v, w in zip(p, d))
+            if (k := (s, f + 1, *(v // 8 for v in q), *d)) in want and (s, f + 1, *q) not in cells:
+                want[k] += 768
+    got = {tuple(r[:-1]): r["cost"] for r in motion.near_costs(voxels).collect()}
+    assert got == want
+    best = {tuple(r[:5]): tuple(r[5:]) for r in motion.best_near(voxels).collect()}
+    order = lambda d, c: (c, d != (0, 0, 0), d[2], d[1], d[0])
+    assert best == {b: (*min((order(k[5:], c), k[5:]) for k, c in want.items() if k[:5] == b)[1], min(c for k, c in want.items() if k[:5] == b)) for b in {k[:5] for k in want}}

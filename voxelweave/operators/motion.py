@@ -1,7 +1,7 @@
 """Motion search between a frame's bricks and the frame before.
 
 The cost of a vector is 768 for each cell filled in just one of the brick and the shifted frame before, and the sum of colour differences where both
-are. near_costs() gives the 27 nearest vectors' costs as joins and sums. search() makes the whole hierarchical search: bricks go to
+are. near_costs() gives the 27 nearest vectors' costs, in blocks with a halo. search() makes the whole hierarchical search: bricks go to
 tasks with the cells of the frame before that a vector may reach, some bricks at a time.
 """
 
@@ -11,10 +11,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.address import BRICK, SIDE, addressed
+from ..functions.address import BRICK, SIDE
+from . import blocks
 from .bricks import CELL, COLOUR, FRAME
 
 #: Cost of a cell that is filled on one side alone.
@@ -22,26 +25,57 @@ MISMATCH = 3 * 256
 #: Farthest that the search goes along an axis: 4 + 2 + 1.
 REACH = 7
 VECTOR = ("dx", "dy", "dz")
+VECTORS = tuple(product((-1, 0, 1), repeat=3))
 
 
 def near_costs(voxels: DataFrame) -> DataFrame:
-    """Cost of each vector in {-1, 0, 1}^3 of each brick. mismatches = n + n(shifted) - 2 n(both).
+    """Cost of each vector in {-1, 0, 1}^3 of each brick of a frame that isn't its scene's first.
 
-    Voxels of the frame before go to the cells they'd be at under each vector: one shuffle, and sums by brick are partial before the next.
+    Voxels go to the blocks that see them, in their frame and the next; a block compares its frames with those before under each vector.
     """
-    steps = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(VECTOR, d, strict=True))) for d in product((-1, 0, 1), repeat=3)))
-    now = voxels.select(*FRAME, *CELL, *COLOUR)
-    sent = voxels.select("scene", (F.col("frame") + 1).alias("frame"), *CELL, *(F.col(c).alias(f"p{c}") for c in COLOUR), F.explode(steps).alias("d"))
-    sent = sent.select(*FRAME, *((F.col(a) - F.col(f"d.d{a}")).alias(a) for a in CELL), *(f"d.{n}" for n in VECTOR), *(f"p{c}" for c in COLOUR))
-    rows = sent.join(now.hint("merge"), [*FRAME, *CELL], "left")
-    both = F.col("r").isNotNull()
-    apart = sum(F.abs(F.col(c) - F.col(f"p{c}")) for c in COLOUR)
-    by = addressed(rows).groupBy(*FRAME, *BRICK, *VECTOR).agg(F.count("*").alias("n_before"), F.sum(both.cast("int")).alias("n_both"), F.sum(F.when(both, apart).otherwise(0)).alias("sad"))
-    size = addressed(voxels).groupBy(*FRAME, *BRICK).agg(F.count("*").alias("n"))
+    reach = (1, 1, 1, 1)
+    rows = voxels.select(*FRAME, *CELL, *(F.col(c).cast("int").alias(c) for c in COLOUR)).where("frame is not null")
+    schema = T.StructType([*rows.select(*FRAME).schema.fields, *(T.StructField(n, T.IntegerType()) for n in (*BRICK, *VECTOR)), T.StructField("cost", T.LongType())])
+
+    def run(block: pa.Table) -> pa.Table:
+        origin, shape, at = blocks.placed(block, reach)
+        filled = blocks.filled_cells(at, shape)
+        own = blocks.core(reach)
+        # the bricks between the least and the greatest that have voxels of the block's own
+        n_voxels = by_brick(filled[own])
+        bounds = [np.nonzero(n_voxels.any(axis=tuple(b for b in range(4) if b != k)))[0] for k in range(1, 4)]
+        bounds = [(int(b[0]), int(b[-1]) + 1) if len(b) else (0, 0) for b in bounds]
+        n_voxels = n_voxels[:, *(slice(*b) for b in bounds)]
+        colours = np.zeros((*shape, 3), dtype=np.int32)
+        colours.reshape(-1, 3)[at] = np.stack([block.column(c).to_numpy() for c in COLOUR], axis=1)
+
+        def seen(grid: np.ndarray, frames: slice, shift: tuple[int, int, int]) -> np.ndarray:
+            return grid[frames, *(slice(1 + low * SIDE + d, 1 + high * SIDE + d) for (low, high), d in zip(bounds, shift, strict=True))]
+
+        has = np.nonzero(n_voxels)
+        now, colour = seen(filled, own[0], (0, 0, 0)), seen(colours, own[0], (0, 0, 0))
+        costs = []
+        for d in VECTORS:
+            was = seen(filled, slice(0, blocks.FRAMES), d)
+            apart = np.abs(seen(colours, slice(0, blocks.FRAMES), d) - colour).sum(axis=-1, dtype=np.int64)
+            costs.append(by_brick(np.where(now & was, apart, MISMATCH * (now ^ was)))[has])
+        n = len(has[0])
+        first_brick = [(low // SIDE + b) for low, (b, _) in zip(origin[1:] + 1, bounds, strict=True)]
+        columns = {"frame": np.tile(has[0] + origin[0] + 1, len(VECTORS)), "cost": np.concatenate(costs)}
+        columns |= {b: np.tile(i + low, len(VECTORS)) for b, i, low in zip(BRICK, has[1:], first_brick, strict=True)}
+        columns |= {v: np.repeat(np.array(VECTORS)[:, k], n) for k, v in enumerate(VECTOR)}
+        kept = [block.schema.field(c) for c in FRAME]
+        return blocks.listed(block, columns, pa.schema([*kept, *(pa.field(c, pa.int32()) for c in (*BRICK, *VECTOR)), pa.field("cost", pa.int64())]))
+
+    costs = blocks.haloed(rows, reach, ahead=True).groupBy(*blocks.KEYS).applyInArrow(run, schema)
     first = voxels.groupBy("scene").agg(F.min("frame").alias("first"))
-    all_vectors = size.join(first, "scene").where("frame > first").drop("first").select("*", F.explode(steps).alias("d")).select(*FRAME, *BRICK, "n", "d.*")
-    cost = MISMATCH * (F.col("n") + F.coalesce("n_before", F.lit(0)) - 2 * F.coalesce("n_both", F.lit(0))) + F.coalesce("sad", F.lit(0))
-    return all_vectors.join(by, [*FRAME, *BRICK, *VECTOR], "left").select(*FRAME, *BRICK, *VECTOR, cost.cast("long").alias("cost"))
+    return costs.join(first, "scene").where("frame > first").select(*FRAME, *BRICK, *VECTOR, "cost")
+
+
+def by_brick(cells: np.ndarray) -> np.ndarray:
+    """Sums of whole bricks of an array by frame, x, y and z."""
+    f, *sides = cells.shape
+    return cells.reshape(f, *(n for s in sides for n in (s // SIDE, SIDE))).sum(axis=(2, 4, 6), dtype=np.int64)
 
 
 def rank(cost: Column) -> list[Column]:
@@ -52,8 +86,9 @@ def rank(cost: Column) -> list[Column]:
 
 def best_near(voxels: DataFrame) -> DataFrame:
     """Each brick's best vector of the 27 nearest."""
-    w = Window.partitionBy(*FRAME, *BRICK).orderBy(*rank(F.col("cost")))
-    return near_costs(voxels).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    order = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(rank(F.col("cost")))))
+    by = near_costs(voxels).groupBy(*FRAME, *BRICK).agg(F.min_by(F.struct(*VECTOR, "cost"), order).alias("best"))
+    return by.select(*FRAME, *BRICK, "best.*")
 
 
 def search_brick(now: np.ndarray, before: np.ndarray) -> tuple[int, int, int, int]:
