@@ -1,6 +1,7 @@
 """Steps whose size the planner has to see, or that have to stay in proportion to the voxels."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxelweave.operators import blocks, frames, motion, neighbours
@@ -87,3 +88,29 @@ def test_near_costs_across_blocks_and_gaps_of_frames(spark):
     best = {tuple(r[:5]): tuple(r[5:]) for r in motion.best_near(voxels).collect()}
     order = lambda d, c: (c, d != (0, 0, 0), d[2], d[1], d[0])
     assert best == {b: (*min((order(k[5:], c), k[5:]) for k, c in want.items() if k[:5] == b)[1], min(c for k, c in want.items() if k[:5] == b)) for b in {k[:5] for k in want}}
+
+
+def below_shuffles(df) -> list[str]:
+    """Of a plan, what runs before the first shuffle, by branch."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    steps = [(len(line) - len(line.lstrip(" :+-*|")), line) for line in plan]
+    leaves = [k for k, (_, line) in enumerate(steps) if "FileScan" in line and "lineitem" in line]
+    found = []
+    for k in leaves:
+        above, depth = [], steps[k][0]
+        for d, line in reversed(steps[:k]):
+            if d < depth:
+                if "Exchange" in line:
+                    break
+                above.append(line)
+                depth = d
+        found.append("\n".join(above))
+    return found
+
+
+@pytest.mark.parametrize("name", ["weno_norms"])
+def test_dense_scene_is_not_added_up_before_its_shuffle(spark, name):
+    """A task's rows lie in nearly as many cells, so it would hold them all, and save little."""
+    for query in (scenes.dense, catalog.queries()[name]):
+        below = below_shuffles(query(spark, DATA))
+        assert below and not [b for b in below if "Aggregate" in b]

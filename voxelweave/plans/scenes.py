@@ -32,7 +32,9 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = dense_frames(spark, sf_dir)
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     k = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 1299709, F.lit(4096 * n))
-    by = rows.groupBy(k.alias("k")).agg(F.max(F.col("l_quantity").cast("long") * 5).alias("q"), F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    # a cell has some four rows, spread over the table: adding up before the shuffle would hold nearly all rows of a task, and save little
+    rows = rows.select(k.alias("k"), (F.col("l_quantity").cast("long") * 5).alias("q"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).repartition("k")
+    by = rows.groupBy("k").agg(*(F.max(c).alias(c) for c in "qps"))
     k = F.col("k")
     cols = {"frame": k % n, "x": F.floor(k / n) % 16, "y": F.floor(k / (16 * n)) % 16, "z": F.floor(k / (256 * n)) % 16, "r": F.col("q") % 256, "g": F.col("p") % 256, "b": F.col("s") % 256}
     return by.select(F.lit("D").alias("scene"), *(c.cast("int").alias(n) for n, c in cols.items()))
