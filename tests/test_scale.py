@@ -108,9 +108,15 @@ def below_shuffles(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["weno_norms"])
+@pytest.mark.parametrize("name", ["weno_norms", "principal_curvatures"])
 def test_dense_scene_is_not_added_up_before_its_shuffle(spark, name):
     """A task's rows lie in nearly as many cells, so it would hold them all, and save little."""
     for query in (scenes.dense, catalog.queries()[name]):
         below = below_shuffles(query(spark, DATA))
         assert below and not [b for b in below if "Aggregate" in b]
+
+
+def test_principal_curvatures_look_in_blocks(spark):
+    """Their 19 cells come from an array of the block, not from as many rows and an aggregate."""
+    plan = catalog.queries()["principal_curvatures"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and not [line for line in plan.splitlines() if "Aggregate" in line and "xpyp" in line]
