@@ -108,7 +108,7 @@ def below_shuffles(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["weno_norms", "principal_curvatures"])
+@pytest.mark.parametrize("name", ["weno_norms", "principal_curvatures", "near_motion_costs"])
 def test_dense_scene_is_not_added_up_before_its_shuffle(spark, name):
     """A task's rows lie in nearly as many cells, so it would hold them all, and save little."""
     for query in (scenes.dense, catalog.queries()[name]):
